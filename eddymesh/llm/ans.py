@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.llm.common import batch, column, stored
-from eddymesh.llm.tokens import Encoder
+from eddymesh.llm.tokens import encoder
 
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 17
-LANES = 512
+LANES = 1024
 CHECKPOINT_STEPS = 64
 LEAST = np.uint64(1 << 31)
 HEAD = struct.Struct("<4s7I")
@@ -164,7 +164,7 @@ RAW_DDL = "part int, block int, local_start long, n_tokens long, doc_ids array<l
 
 def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide: bool) -> Iterator[pa.RecordBatch]:
     """Blocks of ids not yet coded, as the sorted partition has the documents."""
-    encoder, part, block, start, size = Encoder(path), TaskContext.get().partitionId(), 0, 0, 0
+    encode, part, block, start, size = encoder(path).encode, TaskContext.get().partitionId(), 0, 0, 0
     kind = "<u4" if wide else "<u2"
     held: list[bytes] = []
     docs: list[int | None] = []
@@ -181,7 +181,7 @@ def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide:
     end = np.array([end_id], kind).tobytes()
     for b in batches:
         names, at = column(b, "doc_id").to_pylist(), 0
-        for ids, counts in encoder.encode(column(b, "text")):
+        for ids, counts in encode(column(b, "text")):
             data, past = ids.astype(kind).tobytes(), np.cumsum(counts) * int(kind[-1])
             for k, stop in enumerate(past.tolist()):
                 held.append(data[past[k - 1] if k else 0 : stop] + end)
@@ -231,14 +231,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame
     vocabulary = max(load(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     wide = vocabulary > 1 << 16
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = stored(ordered.mapInArrow(lambda bs: raw_blocks(bs, path, end_id, wide), RAW_DDL), "token-ids")
+    raw = stored(ordered.mapInArrow(lambda bs: raw_blocks(bs, path, end_id, wide), RAW_DDL), "token-ids", "none")
     found = raw.select("ids").mapInArrow(lambda bs: id_counts(bs, vocabulary, wide), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for row in found:
         counts[row["id"]] = row["n"]
     freq = scaled(counts)
     shared = docs.sparkSession.sparkContext.broadcast(freq)
-    return stored(raw.mapInArrow(lambda bs: coded(bs, shared.value, wide), CODED_DDL), "token-blocks"), freq
+    return stored(raw.mapInArrow(lambda bs: coded(bs, shared.value, wide), CODED_DDL), "token-blocks", "none"), freq
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])

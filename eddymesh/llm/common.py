@@ -21,11 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/eddymesh-shared").rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.llm.common import batch, column, stored
-from eddymesh.llm.tokens import Encoder
+from eddymesh.llm.tokens import encoder
 
 CAPACITY = 2048
 #: At most so many rounds, and lengths that a round prices (the least covered ones).
@@ -140,11 +140,11 @@ PIECES_DDL = "part int, doc_id long, piece int, start long, length long, ids_crc
 
 
 def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    encode, part, seen = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], "<u4").tobytes()
     for b in batches:
         names, at = column(b, "doc_id").to_pylist(), 0
-        for ids, counts in encoder.encode(column(b, "text")):
+        for ids, counts in encode(column(b, "text")):
             data, stop, rows = ids.astype("<u4").tobytes(), 0, []
             for k, n in enumerate(counts.tolist()):
                 own, stop = data[4 * stop : 4 * (stop + n)] + end, stop + n

@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eddymesh.llm.near_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=(80, 100))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op2_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.ans import read_tokens, write_tokens
 
@@ -58,9 +65,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ans_tokens, op3_topk, op4_curriculum_mix, op6_iso_media, op7_best_fit_pack, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_ans_tokens, op3_topk, op4_curriculum_mix, op6_iso_media, op7_best_fit_pack, op8_token_counts)}
 
 SQL: dict[str, str] = {
+    "op1_near_dedup": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as g from w),
+        n as (select w.doc_id, count(s.g) as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+        i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * c >= 80 * (x.n + y.n - c)),
+        r(doc_id, reach) as (select doc_id, doc_id from n union select r.doc_id, l.b from r join l on l.a = r.reach)
+        select n.doc_id, n.n as n_shingles, min(r.reach) as component_id, n.doc_id = min(r.reach) as kept from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n""",
     "op3_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -9,6 +9,7 @@ still finds them in units. Texts with two spaces in a row are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -65,6 +66,12 @@ def joined(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - at, lengths)]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: Spark's Python workers outlive tasks, and so do the units that they know."""
+    return Encoder(path)
+
+
 class Encoder:
     """Whole texts to ids, in batches.
 
