@@ -39,7 +39,7 @@ from eddymesh.llm.tokens import chunks
 
 REGISTERS, ROWS, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // ROWS
-BLOCK = 128
+BLOCK = 512
 #: The share of a union that must be common, as a fraction.
 THRESHOLD = (80, 100)
 _RNG = np.random.default_rng(20240501)
@@ -134,7 +134,7 @@ def signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield batch(SIGNED, row=rows, doc_id=column(b, "doc_id"), n=sizes, key=keys, registers=registers)
 
 
-SETS = pa.schema([("row", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("registers", pa.binary()), ("shingles", pa.binary())])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         own = [s.tobytes() for s in shingle_sets(column(b, "text"), k)]
         if any(xxhash.xxh3_128_digest(s) != key for s, key in zip(own, column(b, "key").to_pylist())):
             raise ValueError("the documents changed between two reads")
-        yield batch(SETS, row=column(b, "row"), shingles=own)
+        yield batch(SETS, row=column(b, "row"), n=column(b, "n"), registers=column(b, "registers"), shingles=own)
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -252,16 +252,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
     # Full sets of those that a comparison on full sets can need.
     wide = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
     need = near.select(F.col("a").alias("row")).union(near.select("b")).union(shared.join(wide, "band", "left_semi").select("row")).distinct()
-    texts = numbered.select("row", "text").join(members.select("row", "key").join(need, "row", "left_semi"), "row")
-    sets = stored(texts.mapInArrow(lambda bs: full_sets(bs, k), "row long, shingles binary"), "shingles")
-    links = stored(both(near, sets).mapInArrow(lambda bs: verified(bs, threshold), "a long, b long"), "links")
+    texts = numbered.select("row", "text").join(members.select("row", "n", "key", "registers").join(need, "row", "left_semi"), "row")
+    sets = stored(texts.mapInArrow(lambda bs: full_sets(bs, k), "row long, n long, registers binary, shingles binary"), "shingles")
+    links = stored(both(near, sets.select("row", "shingles")).mapInArrow(lambda bs: verified(bs, threshold), "a long, b long"), "links")
     found = components(links)
     # Members of buckets of which some aren't in one component yet, without the pivot, which all were compared to.
     rest = shared.where("row <> pivot").select("band", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     open_ = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low < high").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     dealt = rest.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("band", "row", "root", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    full = keyed.join(signs, "row").join(sets, "row")
+    full = keyed.join(sets, "row")
     blocks = full.repartition("band", "one", "other").sortWithinPartitions("band", "one", "other", "row")
     more = stored(blocks.mapInArrow(lambda bs: compared_blocks(bs, threshold), "a long, b long"), "links")
     if not more.isEmpty():
