@@ -23,9 +23,9 @@ CUT = re.compile(r"(?<=[^ ])(?= [^ ])")
 #: Marks that make one pre-token with each other after a word.
 MARKS = "!#$%&*+,-./:;=?@)]}"
 #: Units that a worker keeps; past this the table starts anew.
-KEPT_UNITS = 900_000
+KEPT_UNITS = 300_000
 #: Bytes of text that are split at a time; a longer text is split alone.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def load(path: str):
@@ -100,35 +100,32 @@ class Encoder:
             named = named.encode().decode("latin-1").translate(self.table)
         return array("I", [t.id for t in self.model.tokenize("\u0120" + named if self.spaced and spaced else named)]).tobytes()
 
-    def latin(self, word: str, spaced: bool) -> bytes:
-        """Ids of a word of Latin letters, perhaps with a space before it; kept by the word."""
-        key = word if spaced else f"\n{word}"
-        got = self.known.get(key)
-        if got is None:
-            got = self.known[key] = self.word(word, spaced)
-        return got
-
     def simple(self, unit: str, spaced: bool) -> bytes | None:
         """Ids of a word and the marks after it, which are two pre-tokens; None if the unit is anything else."""
         word = unit.rstrip(MARKS)
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0180"):
             return None
+        key = word if spaced else f"\n{word}"
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = self.word(word, spaced)
         if len(word) == len(unit):
-            return self.latin(word, spaced)
+            return got
         marks = unit[len(word) :]
-        got = self.known.get("\t" + marks)
-        if got is None:
-            got = self.known["\t" + marks] = self.direct(marks)
-        return self.latin(word, spaced) + got
+        after = self.known.get("\t" + marks)
+        if after is None:
+            after = self.known["\t" + marks] = self.direct(marks)
+        return got + after
 
     def later(self, unit: str) -> bytes:
-        """Ids of a space and a unit."""
+        """Ids of a space and a unit. Words and runs of marks are kept, and so are units that need all of the library."""
         if (got := self.simple(unit, True)) is not None:
             return got
         head, line, tail = unit.partition("\n")
         if line and (a := self.simple(head, True)) is not None and (b := self.simple(tail, False)) is not None:
             return a + self.line + b
-        return self.direct(f" {unit}")
+        got = self.known[unit] = self.direct(f" {unit}")
+        return got
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of rows: all ids, and how many each row has. A null or empty text has none."""
@@ -151,15 +148,9 @@ class Encoder:
         later[first] = False
         used = np.zeros(len(names), bool)
         used[codes[later]] = True
-        known, parts = self.known, []
+        get, parts = self.known.get, []
         for unit, is_used in zip(names, used.tolist()):
-            if not is_used:
-                parts.append(b"")
-                continue
-            got = known.get(unit)
-            if got is None:
-                got = known[unit] = self.later(unit)
-            parts.append(got)
+            parts.append((get(unit) or self.later(unit)) if is_used else b"")
         firsts, rank = {}, []
         odd_texts = iter(texts.filter(pa.array(odd)).to_pylist())
         for is_odd, c in zip(odd.tolist(), codes[first].tolist()):
