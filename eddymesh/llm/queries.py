@@ -43,6 +43,13 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eddymesh.llm.line_dedup import line_dedup
+
+    found = line_dedup(table(spark, sf_dir, "documents"), report=True)
+    return found.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.md5("text").alias("text_md5"))
+
+
 def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.media import describe, store_texts
 
@@ -65,7 +72,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_ans_tokens, op3_topk, op4_curriculum_mix, op6_iso_media, op7_best_fit_pack, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_ans_tokens, op3_topk, op4_curriculum_mix, op5_line_dedup, op6_iso_media, op7_best_fit_pack, op8_token_counts)}
 
 SQL: dict[str, str] = {
     "op1_near_dedup": r"""
@@ -100,4 +107,23 @@ SQL: dict[str, str] = {
                                       when 1 then (sqrt(9.0::double + -4.0::double * (u1 * 2.0::double)) - 3.0::double) / -2.0::double else u1 end as t1 from u)
         select doc_id, size, source_size, target, (passes * size)::bigint as taken,
                case when passes = 0 then []::double[] when passes = 1 then [least(1.0::double, greatest(0.0::double, t0))] else [least(1.0::double, greatest(0.0::double, t0)), least(1.0::double, greatest(0.0::double, t1))] end as positions from x""",
+    "op5_line_dedup": r"""
+        with l as (select row, doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line
+                   from (select *, row_number() over (order by doc_id) as row from documents)),
+        c as (select row, doc_id, line, content, len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) as n, ('0x' || substr(md5(content), 1, 15))::bigint as h from l),
+        p as (select *, sum(n) over (partition by row order by line) - n as n_before, row_number() over (partition by row order by line) - 1 as pos, sum(n) over (partition by row) as total from c where n > 0),
+        w as (select *, min({'h': h, 'pos': pos}) over (partition by row order by n_before range between current row and 49 following) as least from p),
+        f as (select distinct row, doc_id, least.h as h, least.pos as pos from w where total - n_before >= 50),
+        o as (select *, first_value({'row': row, 'pos': pos}) over (partition by h order by doc_id, row, pos) as f0 from f),
+        s as (select row, pos, f0.row as row0, pos - f0.pos as shift from o where row <> f0.row or pos <> f0.pos),
+        d as (select distinct row, row0, shift from s),
+        m as (select d.row, d.row0, d.shift, a.pos, a.n, a.line, coalesce(a.h = b.h, false) as same from d join p a on a.row = d.row left join p b on b.row = d.row0 and b.pos = a.pos - d.shift),
+        g as (select *, sum((not same)::int) over (partition by row, row0, shift order by pos) as island from m),
+        r as (select row, row0, shift, island, sum(n) as words from g where same group by all),
+        k as (select distinct g.row, g.row0, g.shift, g.island from s join g on g.row = s.row and g.row0 = s.row0 and g.shift = s.shift and g.pos = s.pos where g.same),
+        x as (select distinct g.row, g.line from g join k using (row, row0, shift, island) join r using (row, row0, shift, island) where g.same and r.words >= 50)
+        select q.doc_id, coalesce(len(string_split(q.text, chr(10))), 0)::bigint as n_lines, (select count(*) from x where x.row = q.row) as n_removed,
+               coalesce((select string_agg(x.line::varchar, ',' order by x.line) from x where x.row = q.row), '') as removed,
+               case when q.text is not null then md5(coalesce((select string_agg(c.content, chr(10) order by c.line) from c where c.row = q.row and not exists (select 1 from x where x.row = c.row and x.line = c.line)), '')) end as text_md5
+        from (select *, row_number() over (order by doc_id) as row from documents) q""",
 }
