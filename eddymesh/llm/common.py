@@ -29,9 +29,19 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text in lower case (A-Z only), as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+def rereadable(docs: DataFrame) -> DataFrame:
+    """docs, if it is a table with columns or rows picked, whose rows come in the same order whenever they are read
+    and whatever columns are; else a written copy of it. Row numbers of two reads then agree."""
+
+    def nodes(plan) -> set[str]:
+        found = {plan.nodeName().split(" ")[0]}
+        children = plan.children()
+        for k in range(children.size()):
+            found |= nodes(children.apply(k))
+        return found
+
+    plain = {"LogicalRelation", "Relation", "Project", "Filter", "SubqueryAlias", "LocalRelation", "LogicalRDD", "Scan", "Range"}
+    return docs if nodes(docs._jdf.queryExecution().analyzed()) <= plain else stored(docs, "documents")
 
 
 def n_words(text: Column) -> Column:

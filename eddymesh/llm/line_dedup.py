@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import WORD, stored
+from eddymesh.llm.common import WORD, rereadable, stored
 
 WORDS = 50
 
@@ -71,6 +71,7 @@ def line_dedup(docs: DataFrame, words: int = WORDS, report: bool = False) -> Dat
 
     With report only doc_id, n_lines, removed (line numbers from 0, ascending) and text.
     """
+    docs = rereadable(docs)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("of"))
     joined = numbered.join(repeats(docs, words), "row", "left").withColumn("lines", F.split("of.text", "\n", -1))
     # A blank line inside a deleted run stays.

@@ -19,7 +19,8 @@ connected components.
 
 Rows with null doc_id or the same doc_id are nodes of their own. A component's id is its smallest doc_id (null only if
 all are), and its kept row the first by (doc_id, place in the input). Other columns are left alone; empty tables give
-empty results. The input must give the same rows in the same order when read again, as tables do; that is verified.
+empty results. Input that isn't a plain table is written first, so that a second read gives the same rows in the same order; that is
+verified.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import LOWER, batch, column, stored
+from eddymesh.llm.common import LOWER, batch, column, rereadable, stored
 from eddymesh.llm.components import components
 from eddymesh.llm.tokens import chunks
 
@@ -232,6 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
 
     `row` is monotonically_increasing_id() over docs.
     """
+    docs = rereadable(docs)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = stored(numbered.mapInArrow(lambda bs: signed(bs, k), SIGNED_DDL), "sketches")
     classes = members.groupBy("key").agg(F.min("row").alias("class"))
@@ -275,5 +277,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with their columns."""
+    docs = rereadable(docs)
     kept = near_duplicates(docs, k, threshold).where("kept").select(F.col("row").alias("near_dedup_row"))
     return docs.withColumn("near_dedup_row", F.monotonically_increasing_id()).join(kept, "near_dedup_row", "left_semi").drop("near_dedup_row")

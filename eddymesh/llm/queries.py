@@ -72,7 +72,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_ans_tokens, op3_topk, op4_curriculum_mix, op5_line_dedup, op6_iso_media, op7_best_fit_pack, op8_token_counts)}
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eddymesh.llm.quality import fitted, held_out, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    found = quality_scores(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    return found.select("of.doc_id", held_out(F.col("of.doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eddymesh.llm.brown import brown_scores
+
+    return brown_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_ans_tokens, op3_topk, op4_curriculum_mix, op5_line_dedup, op6_iso_media, op7_best_fit_pack, op8_token_counts, op9_quality_knn, op10_brown_lm)}
 
 SQL: dict[str, str] = {
     "op1_near_dedup": r"""
