@@ -23,11 +23,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +37,14 @@ from eddymesh.llm.tokens import chunks
 
 HEAD, CLASSED, CLUSTERED, CLASSES, SWEEPS = 1 << 17, 1 << 15, 1024, 64, 12
 #: Words that a worker sums up before it passes them on; weight of the classes' own frequency in transitions.
-HELD, SMOOTH = 300_000, 20.0
+HELD, SMOOTH = 150_000, 20.0
+#: Bytes of text whose words are in memory at once; a longer text is alone.
+CHUNK = 2 << 20
 
 
 def word_lists(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """For each run of rows: all words, and how many each row has."""
-    for part in chunks(texts):
+    for part in chunks(texts, CHUNK):
         words, counts = [], []
         for text in part:
             own = text.as_buffer().to_pybytes().translate(LOWER).split() if text.is_valid else []
@@ -55,14 +57,13 @@ COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[bytes, int] = {}
+    found: Counter[bytes] = Counter()
     for b in batches:
         for words, _ in word_lists(column(b, "text")):
-            for w in words:
-                found[w] = found.get(w, 0) + 1
+            found.update(words)
             if len(found) > HELD:
                 yield batch(COUNTS, word=list(found), n=list(found.values()))
-                found = {}
+                found = Counter()
     yield batch(COUNTS, word=list(found), n=list(found.values()))
 
 
@@ -160,7 +161,7 @@ def contexts(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes:
     """For words first..last-1 how often each class stands before (its number) or after (plus their number) them.
     Words that have no class yet count as others."""
     size = int(classes.max()) + 1
-    held = np.zeros(((last - first), 2 * size), np.int32)
+    held = np.zeros((last - first) * 2 * size, np.int32)
     other, end = last, last + 1
     table = np.full(last + 2, size - 2)
     table[:first], table[end] = classes[:first], size - 1
@@ -171,11 +172,13 @@ def contexts(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes:
             kinds = table[own]
             past = before(kinds, ends, size - 1)
             mine = np.flatnonzero((own >= first) & (own < last))
-            np.add.at(held, (own[mine] - first, past[mine]), 1)
-            np.add.at(held, (own[mine] - first, size + kinds[mine + 1]), 1)
-    for w in np.flatnonzero(held.any(axis=1)).tolist():
-        at = np.flatnonzero(held[w])
-        yield batch(CONTEXT, word=[first + w], at=[at], n=[held[w, at]])
+            place = (own[mine] - first) * (2 * size)
+            np.add.at(held, place + past[mine], 1)
+            np.add.at(held, place + size + kinds[mine + 1], 1)
+    seen = np.flatnonzero(held)
+    words, begin = np.unique(seen // (2 * size), return_index=True)
+    offsets = pa.array([*begin.tolist(), len(seen)], pa.int32())
+    yield batch(CONTEXT, word=words + first, at=pa.ListArray.from_arrays(offsets, pa.array((seen % (2 * size)).astype(np.int32))), n=pa.ListArray.from_arrays(offsets, pa.array(held[seen].astype(np.int64))))
 
 
 ASSIGNED = pa.schema([("word", pa.int64()), ("class", pa.int32())])

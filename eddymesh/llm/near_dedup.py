@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ from eddymesh.llm.tokens import chunks
 REGISTERS, ROWS, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // ROWS
 BLOCK = 512
+#: Bytes of text whose words are in memory at once; a longer text is alone.
+CHUNK = 2 << 20
 #: The share of a union that must be common, as a fraction.
 THRESHOLD = (80, 100)
 _RNG = np.random.default_rng(20240501)
@@ -58,7 +59,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for part in chunks(texts):
+    for part in chunks(texts, CHUNK):
         words, counts = [], []
         for text in part:
             data = text.as_buffer().to_pybytes().translate(LOWER).split() if text.is_valid else []
