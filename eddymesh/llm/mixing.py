@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import n_words
+from eddymesh.llm.common import n_words, stored
 
 #: (time, weight) breakpoints of the default schedules, for the sources in turn: rising to 5, falling to 2, level at 1.
 SCHEDULES = [[(0.0, 2.5), (1.0, 7.5)], [(0.0, 3.0), (1.0, 1.0)], [(0.0, 1.0), (1.0, 1.0)]]
@@ -68,7 +68,8 @@ def placed(docs: DataFrame, schedules, share: float, most: int) -> DataFrame:
     keys = ["no_source", "source_name"]
     goals = targets(sized, schedules, share, most).withColumn("n_ranges", F.ceil(F.sqrt("n_rows")))
     ranged = sized.join(goals, keys).withColumn("mix_range", F.floor(F.col("mix_place") * F.col("n_ranges")))
-    ranges = ranged.groupBy(*keys, "mix_range").agg(F.sum("size").alias("range_size"))
+    # Written, or the sums would be dealt out by source alone, as the window over them is.
+    ranges = stored(ranged.groupBy(*keys, "mix_range").agg(F.sum("size").alias("range_size")), "ranges")
     before = ranges.selectExpr(*keys, "mix_range", "sum(range_size) over (partition by no_source, source_name order by mix_range) - range_size as range_before")
     summed = ranged.join(before, [*keys, "mix_range"]).withColumn("middle", F.expr("range_before + sum(size) over (partition by no_source, source_name, mix_range order by mix_key, doc_id, size, mix_row.text rows between unbounded preceding and current row) - size / 2"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
