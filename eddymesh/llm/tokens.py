@@ -23,9 +23,9 @@ CUT = re.compile(r"(?<=[^ ])(?= [^ ])")
 #: Marks that make one pre-token with each other after a word.
 MARKS = "!#$%&*+,-./:;=?@)]}"
 #: Units that a worker keeps; past this the table starts anew.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 500_000
 #: Bytes of text that are split at a time; a longer text is split alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 
 
 def load(path: str):
