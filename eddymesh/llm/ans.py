@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column, stored
+from eddymesh.llm.common import batch, column, stored, tidied
 from eddymesh.llm.tokens import encoder
 
 SCALE_BITS = 20
@@ -231,14 +231,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame
     vocabulary = max(load(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     wide = vocabulary > 1 << 16
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = stored(ordered.mapInArrow(lambda bs: raw_blocks(bs, path, end_id, wide), RAW_DDL), "token-ids", "none")
-    found = raw.select("ids").mapInArrow(lambda bs: id_counts(bs, vocabulary, wide), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    raw = stored(ordered.mapInArrow(lambda bs: tidied(raw_blocks(bs, path, end_id, wide), True), RAW_DDL), "token-ids", "none")
+    found = raw.select("ids").mapInArrow(lambda bs: tidied(id_counts(bs, vocabulary, wide)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for row in found:
         counts[row["id"]] = row["n"]
     freq = scaled(counts)
     shared = docs.sparkSession.sparkContext.broadcast(freq)
-    return stored(raw.mapInArrow(lambda bs: coded(bs, shared.value, wide), CODED_DDL), "token-blocks", "none"), freq
+    return stored(raw.mapInArrow(lambda bs: tidied(coded(bs, shared.value, wide)), CODED_DDL), "token-blocks", "none"), freq
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -265,4 +265,4 @@ def read_tokens(blocks: DataFrame, freq: np.ndarray, digest: bool = False) -> Da
         starts[part], total = total, total + n
     shared = blocks.sparkSession.sparkContext.broadcast((freq, starts))
     last = "ids_crc32 long" if digest else "ids binary"
-    return blocks.mapInArrow(lambda bs: decoded(bs, *shared.value, digest), f"doc_id long, start long, n_tokens long, {last}")
+    return blocks.mapInArrow(lambda bs: tidied(decoded(bs, *shared.value, digest)), f"doc_id long, start long, n_tokens long, {last}")

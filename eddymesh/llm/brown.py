@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import LOWER, batch, column, stored
+from eddymesh.llm.common import LOWER, batch, column, stored, tidied
 from eddymesh.llm.quality import held_out
 from eddymesh.llm.tokens import chunks
 
@@ -104,7 +104,7 @@ def bigrams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: n
 
 def counted_pairs(texts: DataFrame, ids, classes: np.ndarray | None, size: int) -> np.ndarray:
     """A (size x size) matrix of counts, whatever the input's size."""
-    rows = texts.mapInArrow(lambda bs: bigrams(bs, ids.value, classes, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.mapInArrow(lambda bs: tidied(bigrams(bs, ids.value, classes, size)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -234,7 +234,7 @@ def brown_scores(docs: DataFrame, parts: int = 7, head: int = HEAD, classed: int
     spark = docs.sparkSession
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), parts).alias("held_out"))
     training = numbered.where(~F.col("held_out")).select("text")
-    words = stored(training.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = stored(training.mapInArrow(lambda bs: tidied(word_counts(bs)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = training.count()
     sums = words.agg(F.sum("n"), F.count("*")).first()
     tokens, types = (sums[0] or 0) + ends, sums[1] + (ends > 0)
@@ -253,8 +253,8 @@ def brown_scores(docs: DataFrame, parts: int = 7, head: int = HEAD, classed: int
     grid = counted_pairs(training, ids, table, size) + 0.5
     odds = np.concatenate([np.log(grid / grid.sum(axis=0))[:, :n_classes].T, np.log(grid / grid.sum(axis=1, keepdims=True))[:n_classes]], axis=1)
     if classed > clustered:
-        spread = training.mapInArrow(lambda bs: contexts(bs, ids.value, first, clustered, classed), "word long, at array<int>, n array<long>")
-        found = spread.repartition("word").mapInArrow(lambda bs: assigned(bs, odds), "word long, class int").toArrow()
+        spread = training.mapInArrow(lambda bs: tidied(contexts(bs, ids.value, first, clustered, classed)), "word long, at array<int>, n array<long>")
+        found = spread.repartition("word").mapInArrow(lambda bs: tidied(assigned(bs, odds)), "word long, class int").toArrow()
         table[found["word"].to_numpy()] = found["class"].to_numpy()
     grid = counted_pairs(training, ids, table, size)
     own = grid.sum(axis=0)
@@ -269,7 +269,7 @@ def brown_scores(docs: DataFrame, parts: int = 7, head: int = HEAD, classed: int
     base = np.concatenate([np.log10((counts + 1) / whole), [0.0, np.log10((ends + 1) / whole)]])
     emit = np.concatenate([known, [0.0, 0.0]])
     sent = spark.sparkContext.broadcast((table, base, emit, step))
-    rows = numbered.mapInArrow(lambda bs: document_rows(bs, ids.value, *sent.value), ROWS_DDL)
+    rows = numbered.mapInArrow(lambda bs: tidied(document_rows(bs, ids.value, *sent.value)), ROWS_DDL)
     counted = rows.join(words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)) + 1)
     out = counted.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

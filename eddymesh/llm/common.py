@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LIBC = ctypes.CDLL(None)
 #: A word, as Java's and DuckDB's patterns read it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z on UTF-8 bytes; bytes.split() then cuts at exactly 0x20 and 0x09-0x0D.
@@ -49,6 +53,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def tidied(rows: Iterator[pa.RecordBatch], keep_encoder: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows; before and after them the worker gives back memory that nothing uses. Workers outlive tasks and
+    operators, so an encoder that an earlier operator left in the worker goes too, unless it is needed again."""
+    try:
+        given_back(keep_encoder)
+        yield from rows
+    finally:
+        given_back(keep_encoder)
+
+
+def given_back(keep_encoder: bool) -> None:
+    if not keep_encoder and (tokens := sys.modules.get("eddymesh.llm.tokens")):
+        tokens.encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of these columns, in the order and of the types of the schema."""
     arrays = [c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema]

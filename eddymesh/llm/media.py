@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column
+from eddymesh.llm.common import batch, column, tidied
 
 #: Bytes of a frame (16 x 12 grey samples), frames of a chunk, frames a second.
 FRAME, WIDTH, HEIGHT, FRAMES_A_CHUNK, RATE = 192, 16, 12, 64, 25
@@ -189,7 +189,7 @@ def stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the text as an ISO file) of documents(doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stored_texts, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda bs: tidied(stored_texts(bs)), "doc_id long, n_bytes long, media binary")
 
 
 FOUND = {"codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "samples": pa.int64(), "key_ranges": pa.list_(pa.list_(pa.int64())), "error": pa.string()}
@@ -224,4 +224,4 @@ def describe(df: DataFrame, digest: bool = False) -> DataFrame:
     With digest also the sizes and hashes of the payload, read back by the sample tables, and of the stored file."""
     names = [c for c in df.columns if c != "media"]
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != "media"), FOUND_DDL, *([DIGEST_DDL] if digest else [])])
-    return df.mapInArrow(lambda bs: described(bs, names, digest), ddl)
+    return df.mapInArrow(lambda bs: tidied(described(bs, names, digest)), ddl)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import LOWER, batch, column, rereadable, stored
+from eddymesh.llm.common import LOWER, batch, column, rereadable, stored, tidied
 from eddymesh.llm.components import components
 from eddymesh.llm.tokens import chunks
 
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
     """
     docs = rereadable(docs)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = stored(numbered.mapInArrow(lambda bs: signed(bs, k), SIGNED_DDL), "sketches")
+    members = stored(numbered.mapInArrow(lambda bs: tidied(signed(bs, k)), SIGNED_DDL), "sketches")
     classes = members.groupBy("key").agg(F.min("row").alias("class"))
     heads = members.where("n > 0").join(classes.select(F.col("class").alias("row")), "row", "left_semi")
     in_bands = heads.select("row", F.explode(bands()).alias("band"))
@@ -251,13 +251,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
             pairs = pairs.join(of.select(*[F.col(c).alias(end if c == "row" else f"{c}_{end}") for c in of.columns]), end)
         return pairs
 
-    near = stored(both(pairs, signs).mapInArrow(lambda bs: likely(bs, threshold), "a long, b long"), "likely-pairs")
+    near = stored(both(pairs, signs).mapInArrow(lambda bs: tidied(likely(bs, threshold)), "a long, b long"), "likely-pairs")
     # Full sets of those that a comparison on full sets can need.
     wide = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
     need = near.select(F.col("a").alias("row")).union(near.select("b")).union(shared.join(wide, "band", "left_semi").select("row")).distinct()
     texts = numbered.select("row", "text").join(members.select("row", "n", "key", "registers").join(need, "row", "left_semi"), "row")
-    sets = stored(texts.mapInArrow(lambda bs: full_sets(bs, k), "row long, n long, registers binary, shingles binary"), "shingles")
-    links = stored(both(near, sets.select("row", "shingles")).mapInArrow(lambda bs: verified(bs, threshold), "a long, b long"), "links")
+    sets = stored(texts.mapInArrow(lambda bs: tidied(full_sets(bs, k)), "row long, n long, registers binary, shingles binary"), "shingles")
+    links = stored(both(near, sets.select("row", "shingles")).mapInArrow(lambda bs: tidied(verified(bs, threshold)), "a long, b long"), "links")
     found = components(links)
     # Members of buckets of which some aren't in one component yet, without the pivot, which all were compared to.
     rest = shared.where("row <> pivot").select("band", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
     keyed = dealt.select("band", "row", "root", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), (F.col("own") > F.col("with")).cast("int").alias("side"))
     full = keyed.join(sets, "row")
     blocks = full.repartition("band", "one", "other").sortWithinPartitions("band", "one", "other", "row")
-    more = stored(blocks.mapInArrow(lambda bs: compared_blocks(bs, threshold), "a long, b long"), "links")
+    more = stored(blocks.mapInArrow(lambda bs: tidied(compared_blocks(bs, threshold)), "a long, b long"), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     # From classes back to rows.

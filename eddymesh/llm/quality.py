@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column
+from eddymesh.llm.common import batch, column, tidied
 
 TERMS, REPEATS = 1 << 12, 16
 WIDTH = TERMS + 2 * REPEATS
@@ -117,7 +118,7 @@ def held_out(doc_id: Column, parts: int = 4) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensions: int = DIMENSIONS) -> Model:
     """Learns from the labels of documents that aren't held out."""
-    found = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(lambda bs: tidied(frequencies(bs)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(WIDTH), 0
     for row in found:
         if row["term"] < 0:
@@ -133,7 +134,7 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensi
     for label in (0, 1):
         part = usable.where(F.col("quality") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(labelled)
         sampled = part if sampled is None else sampled.unionByName(part)
-    own = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("text", "quality").mapInArrow(labelled_counts, "quality int, counts binary").collect()
+    own = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("text", "quality").mapInArrow(lambda bs: tidied(labelled_counts(bs)), "quality int, counts binary").collect()
     own.sort(key=lambda r: (r["quality"], bytes(r["counts"])))
     kinds = np.array([r["quality"] for r in own], np.float64)
     if not len(own) or kinds.min() == kinds.max():
@@ -150,16 +151,15 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensi
     return Model(idf, vectors.astype(np.float32), basis, kinds, stands / stands.max(), share)
 
 
-def scored(batches: Iterator[pa.RecordBatch], model: Model, names: list[str]) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(b.schema.get_field_index("quality_text"))
         for at in range(0, b.num_rows, BLOCK):
-            score = model.scores(texts.slice(at, BLOCK).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)).slice(at, BLOCK) for n in names], pa.array(score)], names=[*names, "quality_score"])
+            of = b.column(0).slice(at, BLOCK)
+            yield pa.RecordBatch.from_arrays([of, pa.array(model.scores(pc.struct_field(of, "text").to_pylist()))], names=["of", "quality_score"])
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs as a struct `of`, and quality_score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("of"), F.col("text").alias("quality_text"))
-    return rows.mapInArrow(lambda bs: scored(bs, sent.value, ["of"]), f"of {rows.schema['of'].dataType.simpleString()}, quality_score double")
+    rows = docs.select(F.struct(*docs.columns).alias("of"))
+    return rows.mapInArrow(lambda bs: tidied(scored(bs, sent.value)), rows.schema.add("quality_score", "double"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column, stored
+from eddymesh.llm.common import batch, column, stored, tidied
 from eddymesh.llm.tokens import CUT, MARKS, chunks, load
 
 #: Most frequent pre-tokens that every worker holds, whatever the input's size.
@@ -120,8 +120,8 @@ def with_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 
 def lexicon(docs: DataFrame, path: str) -> DataFrame:
     """pretoken, n (how often it occurs in all texts) and pieces (tokens that it makes)."""
-    counted = docs.select("text").mapInArrow(lambda bs: frequencies(bs, path), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return stored(counted.mapInArrow(lambda bs: with_pieces(bs, path), "pretoken string, n long, pieces long"), "lexicon")
+    counted = docs.select("text").mapInArrow(lambda bs: tidied(frequencies(bs, path)), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    return stored(counted.mapInArrow(lambda bs: tidied(with_pieces(bs, path)), "pretoken string, n long, pieces long"), "lexicon")
 
 
 ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("head", pa.int64()), ("pretoken", pa.string()), ("freq", pa.int64())])
@@ -164,7 +164,7 @@ def token_counts(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFrame
     words = lexicon(docs, path)
     head = {r["pretoken"]: r["pieces"] for r in words.orderBy(F.desc("n"), "pretoken").limit(head_size).select("pretoken", "pieces").toLocalIterator()}
     shared = spark.sparkContext.broadcast(head)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda bs: document_rows(bs, path, shared.value), ROWS_DDL)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda bs: tidied(document_rows(bs, path, shared.value)), ROWS_DDL)
     joined = rows.join(words.select("pretoken", "pieces"), "pretoken", "left")
     summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("head") + F.sum(F.coalesce(F.col("freq") * F.col("pieces"), F.lit(0)))).alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens")

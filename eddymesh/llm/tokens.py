@@ -67,9 +67,9 @@ def joined(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_UNITS) -> Encoder:
     """The worker's encoder: Spark's Python workers outlive tasks, and so do the units that they know."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 class Encoder:

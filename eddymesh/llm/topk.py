@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column
+from eddymesh.llm.common import batch, column, tidied
 
 BINS = 512
 #: Queries that go out at once, and that are multiplied at once.
@@ -120,7 +120,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         need = np.full(len(qids), k, np.int64)  # rows still to count at or below the bins above
         while True:
             sent = spark.sparkContext.broadcast((qids, matrix, low, width))
-            counts = rows.mapInArrow(lambda bs, s=sent: histograms(bs, s.value, k), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+            counts = rows.mapInArrow(lambda bs, s=sent: tidied(histograms(bs, s.value, k)), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
             # From the top down, the bin in which k is reached; the lowest one where there are fewer rows.
             down = counts.selectExpr("query", "bin", "sum(n) over (partition by query order by bin desc) as past")
             at = down.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("past") >= k, F.col("bin"))), F.min("bin")).alias("bin")).toArrow()
@@ -131,7 +131,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 break
             width = -(-width // BINS)
         sent = spark.sparkContext.broadcast((qids, matrix, low, len(parts) * QUERIES))
-        parts.append(rows.mapInArrow(lambda bs, s=sent: survivors(bs, s.value, k), "q long, query_id long, id long, score long"))
+        parts.append(rows.mapInArrow(lambda bs, s=sent: tidied(survivors(bs, s.value, k)), "q long, query_id long, id long, score long"))
 
     for row in queries.toLocalIterator(prefetchPartitions=True):
         held.append(row)
