@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from eddymesh.llm.common import batch, column, tidied
 
@@ -162,4 +163,4 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs as a struct `of`, and quality_score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*docs.columns).alias("of"))
-    return rows.mapInArrow(lambda bs: tidied(scored(bs, sent.value)), rows.schema.add("quality_score", "double"))
+    return rows.mapInArrow(lambda bs: tidied(scored(bs, sent.value)), StructType([*rows.schema.fields, StructField("quality_score", DoubleType())]))
