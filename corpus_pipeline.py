@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
-    return pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", kept=100_000)
+    return pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", kept=60_000, chunk=2 << 20)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_dedup), ("mix", mix), ("pack", packed)]

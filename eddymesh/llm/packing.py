@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.llm.common import batch, column, stored, tidied
-from eddymesh.llm.tokens import KEPT_UNITS, encoder
+from eddymesh.llm.tokens import CHUNK_BYTES, KEPT_UNITS, encoder
 
 CAPACITY = 2048
 #: At most so many rounds, and lengths that a round prices (the least covered ones).
@@ -139,8 +139,8 @@ PIECES = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.i
 PIECES_DDL = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local_rank long"
 
 
-def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, kept: int) -> Iterator[pa.RecordBatch]:
-    encode, part, seen = encoder(path, kept).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, kept: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    encode, part, seen = encoder(path, kept, chunk).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], "<u4").tobytes()
     for b in batches:
         names, at = column(b, "doc_id").to_pylist(), 0
@@ -201,8 +201,8 @@ def pack_lengths(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.mapInArrow(lambda bs: tidied(placed(bs, plan.value, schema)), ddl)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, kept: int = KEPT_UNITS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, kept: int = KEPT_UNITS, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Pieces of documents(doc_id, text) with their sequence and offset; ids are read by `path`, the end id follows;
-    a worker keeps the ids of about `kept` words."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda bs: tidied(pieces(bs, path, capacity, end_id, kept), True), PIECES_DDL)
+    a worker keeps the ids of about `kept` words, and splits `chunk` bytes of text at a time."""
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda bs: tidied(pieces(bs, path, capacity, end_id, kept, chunk), True), PIECES_DDL)
     return pack_lengths(stored(made, "pieces"), capacity)

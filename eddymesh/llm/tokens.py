@@ -62,14 +62,17 @@ def joined(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(lengths.sum())
     if not total:
         return values[:0]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
     at = np.cumsum(lengths) - lengths
-    return values[np.arange(total) + np.repeat(starts - at, lengths)]
+    places = np.repeat((starts - at).astype(kind), lengths)
+    places += np.arange(total, dtype=kind)
+    return values[places]
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, kept: int = KEPT_UNITS) -> Encoder:
+def encoder(path: str, kept: int = KEPT_UNITS, chunk: int = CHUNK_BYTES) -> Encoder:
     """The worker's encoder: Spark's Python workers outlive tasks, and so do the units that they know."""
-    return Encoder(path, kept)
+    return Encoder(path, kept, chunk)
 
 
 class Encoder:
@@ -80,8 +83,8 @@ class Encoder:
     merges; any other unit goes through all of the library.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_UNITS):
-        self.tokenizer, self.kept, self.known = load(path), kept, {}
+    def __init__(self, path: str, kept: int = KEPT_UNITS, chunk: int = CHUNK_BYTES):
+        self.tokenizer, self.kept, self.chunk, self.known = load(path), kept, chunk, {}
         self.model = self.tokenizer.model
         self.spaced = self.tokenizer.normalizer is None
         self.line = self.direct("\n")
@@ -129,7 +132,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of rows: all ids, and how many each row has. A null or empty text has none."""
-        for part in chunks(texts):
+        for part in chunks(texts, self.chunk):
             if len(self.known) > self.kept:
                 self.known.clear()
             yield self._encode(pc.fill_null(part, ""))
