@@ -26,6 +26,8 @@ from eddymesh.llm.common import n_words, stored
 #: (time, weight) breakpoints of the default schedules, for the sources in turn: rising to 5, falling to 2, level at 1.
 SCHEDULES = [[(0.0, 2.5), (1.0, 7.5)], [(0.0, 3.0), (1.0, 1.0)], [(0.0, 1.0), (1.0, 1.0)]]
 SHARE, MOST = 1.5, 2
+#: Up to so many sources are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def integral(schedule: list[tuple[float, float]]) -> float:
@@ -66,8 +68,9 @@ def placed(docs: DataFrame, schedules, share: float, most: int) -> DataFrame:
     place = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / 2.0**32
     sized = docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("mix_key")).withColumn("mix_place", place)
     keys = ["no_source", "source_name"]
-    goals = targets(sized, schedules, share, most).withColumn("n_ranges", F.ceil(F.sqrt("n_rows")))
-    ranged = sized.join(goals, keys).withColumn("mix_range", F.floor(F.col("mix_place") * F.col("n_ranges")))
+    goals = stored(targets(sized, schedules, share, most).withColumn("n_ranges", F.ceil(F.sqrt("n_rows"))), "targets")
+    # Few sources go to every task, so that rows stay where they are; more of them meet their rows by shuffle.
+    ranged = sized.join(F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals, keys).withColumn("mix_range", F.floor(F.col("mix_place") * F.col("n_ranges")))
     # Written, or the sums would be dealt out by source alone, as the window over them is.
     ranges = stored(ranged.groupBy(*keys, "mix_range").agg(F.sum("size").alias("range_size")), "ranges")
     before = ranges.selectExpr(*keys, "mix_range", "sum(range_size) over (partition by no_source, source_name order by mix_range) - range_size as range_before")

@@ -41,7 +41,7 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int").repartition(4)
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     docs = documents(spark)
     rows = mixing.mixture(docs).collect()
     assert len(rows) == docs.count()
@@ -67,6 +67,7 @@ def test_mixture(spark):
     for n in names:
         assert goal[n] == pytest.approx(want[n])
         assert abs(taken[n] - goal[n]) <= max((r["size"] for r in rows if r.source == n), default=0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     again = {(r.doc_id, r.text): r.positions for r in mixing.mixture(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.text): r.positions for r in rows}
 
