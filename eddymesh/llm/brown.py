@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ HEAD, CLASSED, CLUSTERED, CLASSES, SWEEPS = 1 << 17, 1 << 15, 1024, 64, 12
 #: Words that a worker sums up before it passes them on; weight of the classes' own frequency in transitions.
 HELD, SMOOTH = 150_000, 20.0
 #: Bytes of text whose words are in memory at once; a longer text is alone.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 
 
 def word_lists(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -74,7 +75,7 @@ def sequences(words: list[bytes], counts: np.ndarray, ids: dict[bytes, int], oth
     inner = np.ones(len(out), bool)
     inner[at] = False
     get = ids.get
-    out[inner] = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+    out[inner] = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
     return out, at
 
 
