@@ -28,6 +28,8 @@ from eddymesh.llm.tokens import CUT, MARKS, chunks, load
 HEAD = 1 << 17
 #: Distinct pre-tokens that a worker sums up before it passes them on.
 HELD = 400_000
+#: Bytes of text that are split at a time.
+CHUNK = 8 << 20
 
 
 class PreTokens:
@@ -97,7 +99,7 @@ FREQUENCIES = pa.schema([("pretoken", pa.string()), ("n", pa.int64())])
 def frequencies(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     found, split = {}, PreTokens(path)
     for b in batches:
-        for part in chunks(pc.fill_null(column(b, "text"), "")):
+        for part in chunks(pc.fill_null(column(b, "text"), ""), CHUNK):
             codes, _, made = split.coded(part)
             for tokens, n in zip(made, np.bincount(codes, minlength=len(made)).tolist()):
                 for t in tokens if n else ():
@@ -138,7 +140,7 @@ def document_rows(batches: Iterator[pa.RecordBatch], path: str, head: dict[str,
         at = 0
         rows, names, texts = column(b, "row").to_numpy(), column(b, "doc_id"), pc.fill_null(column(b, "text"), "")
         sizes = pc.binary_length(texts)
-        for part in chunks(texts):
+        for part in chunks(texts, CHUNK):
             n = len(part)
             codes, first, made = split.coded(part)
             known = np.fromiter((sum([head.get(t, 0) for t in tokens]) for tokens in made), np.int64, len(made))
