@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIBC = ctypes.CDLL(None)
+#: What cuts of files and local rows follow.
+PARALLELISM = "spark.sql.leafNodeDefaultParallelism"
 #: A word, as Java's and DuckDB's patterns read it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z on UTF-8 bytes; bytes.split() then cuts at exactly 0x20 and 0x09-0x0D.
@@ -35,7 +37,13 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
 def rereadable(docs: DataFrame) -> DataFrame:
     """docs, if it is a table with columns or rows picked, whose rows come in the same order whenever they are read
-    and whatever columns are; else a written copy of it. Row numbers of two reads then agree."""
+    and whatever columns are; else a written copy of it. Row numbers of two reads then agree.
+
+    How files are cut into partitions follows the number of cores at hand, unless it is set. It is set here where it
+    isn't, for the session: executors lost or won between two reads then change no row number."""
+    spark = docs.sparkSession
+    if spark.conf.get(PARALLELISM, None) is None:
+        spark.conf.set(PARALLELISM, str(spark.sparkContext.defaultParallelism))
 
     def nodes(plan) -> set[str]:
         found = {plan.nodeName().split(" ")[0]}

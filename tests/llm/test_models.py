@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eddymesh.llm import brown, line_dedup, near_dedup, quality
+from eddymesh.llm import brown, common, line_dedup, near_dedup, quality
 
 SCHEMA = "doc_id long, text string, row string, n int, root int, word string, ranges string, line int"
 
@@ -193,3 +193,16 @@ def test_quality(spark, sf):
     none = quality.fitted(both, labels.limit(0))
     assert {r.quality_score for r in quality.quality_scores(both.limit(5), none).collect()} == {1.0}
     assert quality.quality_scores(both.limit(0), none).count() == 0
+
+
+def test_row_numbers_do_not_follow_the_cores_at_hand(spark, tmp_path):
+    spark.conf.unset(common.PARALLELISM)
+    docs = spark.createDataFrame([(k, f"text {k} " * 40) for k in range(400)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    read = common.rereadable(spark.read.parquet(f"{tmp_path}/docs"))
+    assert spark.conf.get(common.PARALLELISM) == str(spark.sparkContext.defaultParallelism)
+    kept = spark.conf.get(common.PARALLELISM)
+    spark.conf.set(common.PARALLELISM, "3")  # one that is set stays
+    common.rereadable(read)
+    assert spark.conf.get(common.PARALLELISM) == "3"
+    spark.conf.set(common.PARALLELISM, kept)
