@@ -1,14 +1,14 @@
-"""Line dedup by winnowing over line hashes; DataFrame operations only.
+"""Line dedup by windows of lines; DataFrame operations only.
 
-A line is what stands between two line feeds; lines without a word take no part, and are always kept. From each line
-on, a window is the shortest run of lines with at least WORDS words; its line of the smallest hash (the first, if there
-are several) is a fingerprint. Two runs of equal lines with that many words share a window, so also a fingerprint:
-no repeat is missed.
+A line is what stands between two line feeds; lines without a word take no part, and are always kept. A window is a
+run of lines with at least WORDS words that is the shortest from its first line on, or the shortest up to its last
+line. Windows are compared whole, by their lines' hashes, with the first place of an equal window over all documents
+(by doc_id, null last, then place in the input; then line). The lines of each other place are deleted.
 
-Fingerprints are joined to their first occurrence over all documents (by doc_id, null last, then place in the input;
-then line), one partner for each, so a passage that n documents share makes n - 1 pairs. A pair is extended both ways
-as far as lines stay equal; where such a run has at least WORDS words, its lines are deleted from the later place.
-Every deleted line equals one at an earlier place, so the first of equal lines stays.
+No repeat is missed: in a run with that many words that stands at an earlier place too, each line is in a window from
+one of its lines on or in the shortest window up to its end, and those stand at the earlier place as well. Each window
+meets one first place, so n copies make n - 1 pairs. Every deleted line equals one at an earlier place, so the first of
+equal lines stays.
 
 A null text stays null, an empty one empty. A document may end up with an empty text; rows are never dropped. Rows with
 null or equal doc_ids are documents of their own. Other columns are kept as they are, whatever their names; empty
@@ -30,40 +30,25 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc"), "text")
     text = numbered.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     counted = text.select("row", "doc", "line", F.regexp_count("content", F.lit(WORD)).alias("n"), F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("long").alias("h")).where("n > 0")
-    placed = counted.selectExpr("*", "sum(n) over (partition by row order by line) - n as at", "row_number() over (partition by row order by line) - 1 as pos", "sum(n) over (partition by row) as total")
-    chosen = placed.selectExpr("*", f"min(struct(h, pos)) over (partition by row order by at range between current row and {words - 1} following) as least")
-    # One row for each document: its lines' hashes, words and numbers, and the positions of its fingerprints.
-    arrays = stored(
-        chosen.groupBy("row").agg(
-            F.first("doc").alias("doc"),
-            F.array_sort(F.collect_list(F.struct("pos", "h", "n", "line"))).alias("lines"),
-            F.collect_set(F.when(F.col("total") - F.col("at") >= words, F.col("least"))).alias("prints"),
-        ),
-        "lines",
+    placed = counted.selectExpr("*", "sum(n) over (partition by row order by line) as past", "sum(n) over (partition by row order by line) - n as at", "sum(n) over (partition by row) as total")
+    onward, back = f"(partition by row order by at range between current row and {words - 1} following)", f"(partition by row order by past range between {words - 1} preceding and current row)"
+    framed = placed.selectExpr("*", f"collect_list(h) over {onward} as h1", f"max(line) over {onward} as last", f"collect_list(h) over {back} as h0", f"min(line) over {back} as first", f"min(at) over {back} as from")
+    # A window up to a line that is also the shortest from its own first line on is among those already.
+    both = F.array(
+        F.when(F.col("total") - F.col("at") >= words, F.struct(F.col("line").alias("a"), F.col("last").alias("b"), F.col("h1").alias("h"))),
+        F.when(F.col("at") - F.col("from") >= words, F.struct(F.col("first").alias("a"), F.col("line").alias("b"), F.col("h0").alias("h"))),
     )
-    prints = arrays.where(F.size("prints") > 0).select("row", "doc", F.explode("prints").alias("p")).select("row", F.col("p.h").alias("h"), F.col("p.pos").alias("pos"), F.struct(F.col("doc").isNull().alias("none"), "doc", "row", F.col("p.pos").alias("pos")).alias("place"))
-    first = prints.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first")
-    pairs = prints.join(first, "h").where("place <> first").select("row", "pos", F.col("first.row").alias("row0"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    seeds = pairs.groupBy("row", "row0", "shift").agg(F.collect_set("pos").alias("seeds"))
-    hashes = arrays.select(F.col("row").alias("row0"), F.transform("lines", lambda x: x["h"]).alias("h0"))
-    both = seeds.join(arrays.select("row", "lines"), "row").join(hashes, "row0")
-    # Positions on the pair's diagonal where lines differ or one document ends, then the run around each seed.
-    end = F.size("lines")
-    differ = F.filter(
-        F.sequence(F.greatest(F.lit(0), F.col("shift")), F.least(end, F.size("h0") + F.col("shift")) - 1),
-        lambda p: F.col("lines")[p.cast("int")]["h"] != F.col("h0")[(p - F.col("shift")).cast("int")],
-    )
-    differ = F.concat(F.array(F.greatest(F.lit(0), F.col("shift")) - 1), differ, F.array(F.least(end, F.size("h0") + F.col("shift")).cast("long")))
-    runs = both.withColumn("differ", differ).withColumn(
-        "runs",
-        F.array_distinct(F.transform("seeds", lambda s: F.struct((F.array_max(F.filter("differ", lambda d: d < s)) + 1).alias("a"), (F.array_min(F.filter("differ", lambda d: d > s)) - 1).alias("b")))),
-    )
-    own = F.transform("runs", lambda r: F.slice("lines", (r["a"] + 1).cast("int"), (r["b"] - r["a"] + 1).cast("int")))
-    # A run that overlaps its own earlier place, in one document, is still a later place, line by line.
-    long_ = F.filter(own, lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda t, x: t + x["n"]) >= words)
-    ranges = F.transform(long_, lambda lines: F.array(F.get(lines, F.lit(0))["line"], F.element_at(lines, -1)["line"]))
-    found = runs.select("row", ranges.alias("ranges")).where(F.size("ranges") > 0)
-    return found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    cut = framed.select("row", "doc", F.explode(F.filter(both, lambda w: w.isNotNull())).alias("w"))
+    # A window's key: its first line's hash and one of all its lines' hashes.
+    windows = stored(cut.select("row", "doc", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.h")[0].alias("h"), F.xxhash64("w.h").alias("all")), "windows")
+    placed = windows.withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "a"))
+    first = placed.groupBy("h", "all").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "all", "first")
+    later = placed.join(first, ["h", "all"]).where("place <> first").select("row", "a", "b")
+    # Windows that overlap become one range.
+    joined = later.selectExpr("*", "coalesce(max(b) over (partition by row order by a, b rows between unbounded preceding and 1 preceding) < a, true) as begins")
+    islands = joined.selectExpr("*", "sum(int(begins)) over (partition by row order by a, b rows between unbounded preceding and current row) as island")
+    ranges = islands.groupBy("row", "island").agg(F.array(F.min("a"), F.max("b")).alias("range"))
+    return ranges.groupBy("row").agg(F.collect_list("range").alias("ranges"))
 
 
 def line_dedup(docs: DataFrame, words: int = WORDS, report: bool = False) -> DataFrame:

@@ -142,6 +142,40 @@ def test_line_dedup(spark, texts):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def repeated_lines(texts, least=50):
+    """Deleted lines by content: those in any run of that many words that also stands at an earlier place."""
+    lines = {d: [(i, x, len(words(x))) for i, x in enumerate(t.split("\n")) if words(x)] for d, t in texts.items()}
+    runs = defaultdict(list)
+    for d, own in sorted(lines.items()):
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                if sum(n for _, _, n in own[a : b + 1]) >= least:
+                    runs[tuple(x for _, x, _ in own[a : b + 1])].append((d, [i for i, _, _ in own[a : b + 1]]))
+    gone = defaultdict(set)
+    for places in runs.values():
+        for d, at in places[1:]:
+            gone[d] |= set(at)
+    return gone
+
+
+def test_line_dedup_finds_repeats_by_content(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    # The common line has the smallest hash of all, so it was every window's fingerprint.
+    common_line = min((f"all rights reserved {k}" for k in range(3000)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    body = ["\n".join(" ".join(f"q{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(2)) for _ in range(3)]
+    tail = "five more words at end"
+    made = {0: f"a junk page\n{common_line}\nnothing else here", 1: f"{common_line}\n{body[0]}", 2: f"own\n{common_line}\n{body[0]}\nend", 3: f"{body[1]}\nother", 4: f"{body[1]}\n{tail}", 5: f"x\n{body[1]}\n{tail}\ny"}
+    # Few kinds of lines of many lengths: repeats of all sorts, also within a document.
+    kinds = [" ".join(f"k{k}w{j}" for j in range(n)) for k, n in enumerate((1, 3, 7, 12, 20, 24, 31, 49, 50))]
+    made |= {10 + d: "\n".join(kinds[k] if k < 9 else "" for k in rng.integers(0, 10, rng.integers(0, 14))) for d in range(80)}
+    want = repeated_lines(made)
+    assert want[2] == {1, 2, 3} and want[4] == {0, 1} and want[5] == {1, 2, 3}
+    docs = spark.createDataFrame([(d, t, "r", 1, 2, "w", "x", 3) for d, t in made.items()], SCHEMA).repartition(4)
+    assert {r.doc_id: set(r.removed) for r in line_dedup.line_dedup(docs, report=True).collect()} == {d: want[d] for d in made}
+
+
 @pytest.mark.parametrize("sizes", [(1 << 17, 1 << 15, 1024, 64), (50, 30, 10, 4), (0, 0, 0, 3)])
 def test_brown_scores(spark, texts, sizes):
     made = {d: t for d, t in texts.items() if d < 60} | {1000: None, 1001: "", 1002: "unseenword unseenword And", 1003: " x  Y\x0bz"}
