@@ -84,7 +84,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, kept: int = KEPT_UNITS, chunk: int = CHUNK_BYTES):
-        self.tokenizer, self.kept, self.chunk, self.known = load(path), kept, chunk, {}
+        self.tokenizer, self.kept, self.chunk = load(path), kept, chunk
+        #: Ids of units after a space, of words without one and of runs of marks: three tables, for a unit may hold any character.
+        self.known, self.bare, self.marks = {}, {}, {}
         self.model = self.tokenizer.model
         self.spaced = self.tokenizer.normalizer is None
         self.line = self.direct("\n")
@@ -108,16 +110,16 @@ class Encoder:
         word = unit.rstrip(MARKS)
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0180"):
             return None
-        key = word if spaced else f"\n{word}"
-        got = self.known.get(key)
+        table = self.known if spaced else self.bare
+        got = table.get(word)
         if got is None:
-            got = self.known[key] = self.word(word, spaced)
+            got = table[word] = self.word(word, spaced)
         if len(word) == len(unit):
             return got
         marks = unit[len(word) :]
-        after = self.known.get("\t" + marks)
+        after = self.marks.get(marks)
         if after is None:
-            after = self.known["\t" + marks] = self.direct(marks)
+            after = self.marks[marks] = self.direct(marks)
         return got + after
 
     def later(self, unit: str) -> bytes:
@@ -133,8 +135,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of rows: all ids, and how many each row has. A null or empty text has none."""
         for part in chunks(texts, self.chunk):
-            if len(self.known) > self.kept:
-                self.known.clear()
+            if len(self.known) + len(self.bare) + len(self.marks) > self.kept:
+                for table in (self.known, self.bare, self.marks):
+                    table.clear()
             yield self._encode(pc.fill_null(part, ""))
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

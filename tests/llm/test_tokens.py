@@ -40,6 +40,17 @@ def test_ids_are_the_librarys(path, documents):
     assert at == len(texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("made", [["foo bar\nfoo", "foo baz \nfoo"], ["what, a hit!", "foo so \t!"]])
+def test_known_units_words_and_marks_are_apart(path, made):
+    tokenizer = Tokenizer.from_file(path)
+    for texts in (made, made[::-1], [*made, *made]):
+        encoder = tokens.Encoder(path)
+        for text in texts:
+            ids = np.concatenate([i for i, _ in encoder.encode(pa.array([text]))])
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_round_trip(spark):
     docs = frame(spark, [*ODD, "repeated", "repeated"])
     blocks, freq = ans.write_tokens(docs, BYTES)
