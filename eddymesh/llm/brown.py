@@ -5,15 +5,18 @@ P(word | class), with an end before the first word.
 
 1. Word counts over all training texts, a written table; the HEAD most frequent words go to every worker (a fixed
    number).
-2. Exchange clustering: the CLUSTERED most frequent words are moved between CLASSES classes, each to where the
-   mutual information of neighbouring classes rises most, until a sweep moves none or SWEEPS are over. Only their
-   bigram counts, a fixed number, reach the driver. The next words up to CLASSED are assigned, distributed, to the
-   class that makes their neighbours' classes likeliest. All rarer and unknown words are one class of their own; the
-   end is another.
-3. Class bigrams over all training texts; transitions are smoothed with the classes' own frequency.
-4. Scores. Class sequences need only the words that every worker has; the sums for rarer words don't depend on order,
-   so each document's frequencies of those are joined with the word counts by shuffle. In the rare class a word of
-   count c has (c + 1) / (tokens + types + 1), an unknown word 1 / (the same): probabilities sum to 1.
+2. Exchange clustering: the most frequent words, CLUSTERED or GROWTH times the cube root of the number of distinct
+   words if that is more, are moved between CLASSES classes, each to where the mutual information of neighbouring
+   classes rises most, until a sweep moves none or SWEEPS are over. Only their bigram counts reach the driver. Every
+   other training word is assigned, distributed, to the class that makes its neighbours' classes likeliest: its counts
+   of neighbouring classes are dealt out by word (summed up by each task first for the words up to CLASSED). The
+   end is a class of its own.
+3. Class sequences of all texts, a written table: workers fill in the classes of the words they have, the others'
+   places are joined with the words' classes and counts by shuffle, and come back to their text by another.
+4. Class bigrams over the sequences of the training texts; transitions are smoothed with the classes' own frequency.
+5. Scores. A word of count c has c / tokens in its class. Unknown words belong to the class that most words seen once
+   belong to; there a word of count c has (c + 1) / (tokens + types + 1), an unknown word 1 / (the same):
+   probabilities sum to 1.
 
 base_score: the sum over tokens of log10((c + 1) / (N + V + 1)) with c the token's count, N all and V the distinct
 training tokens. Null and empty texts are an end alone. Rows with null doc_id belong to training; rows with the same
@@ -29,6 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,9 @@ from eddymesh.llm.tokens import chunks
 
 HEAD, CLASSED, CLUSTERED, CLASSES, SWEEPS = 1 << 17, 1 << 15, 1024, 64, 12
 #: Words that a worker sums up before it passes them on; weight of the classes' own frequency in transitions.
-HELD, SMOOTH = 150_000, 20.0
+HELD, SMOOTH, GROWTH = 150_000, 20.0, 6
+#: Words whose classes are weighed at a time.
+WEIGHED = 1 << 14
 #: Bytes of text whose words are in memory at once; a longer text is alone.
 CHUNK = 4 << 20
 
@@ -89,28 +95,58 @@ def before(ids: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
 PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
 
-def bigrams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: np.ndarray | None, size: int) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring ids (or of their classes), as before * size + after. The last two ids: others, the end."""
-    held = np.zeros(size * size, np.int64)
-    other, end = (size - 2, size - 1) if classes is None else (len(classes) - 2, len(classes) - 1)
+def bigrams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring ids, as before * size + after. The last two ids: others, the end."""
+    dense = size * size <= 1 << 22
+    held = np.zeros(size * size if dense else 0, np.int64)
     for b in batches:
         for words, counts in word_lists(column(b, "text")):
-            own, ends = sequences(words, counts, ids, other, end)
-            own = own if classes is None else classes[own]
-            past = before(own, ends, size - 1)
-            held += np.bincount(past * size + own, minlength=size * size)
+            own, ends = sequences(words, counts, ids, size - 2, size - 1)
+            pairs = before(own, ends, size - 1) * size + own
+            if dense:
+                held += np.bincount(pairs, minlength=size * size)
+            else:
+                seen, n = np.unique(pairs, return_counts=True)
+                yield batch(PAIRS, pair=seen, n=n)
     seen = np.flatnonzero(held)
     yield batch(PAIRS, pair=seen, n=held[seen])
 
 
-def counted_pairs(texts: DataFrame, ids, classes: np.ndarray | None, size: int) -> np.ndarray:
-    """A (size x size) matrix of counts, whatever the input's size."""
-    rows = texts.mapInArrow(lambda bs: tidied(bigrams(bs, ids.value, classes, size)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+def class_bigrams(batches: Iterator[pa.RecordBatch], size: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring classes in class sequences; the last class is the end."""
+    held = np.zeros(size * size, np.int64)
+    for b in batches:
+        own, sizes = unpacked(column(b, "seq"), kind)
+        own = own.astype(np.int64)
+        if len(own):
+            held += np.bincount(before(own, np.cumsum(sizes) - 1, size - 1) * size + own, minlength=size * size)
+    seen = np.flatnonzero(held)
+    yield batch(PAIRS, pair=seen, n=held[seen])
+
+
+def matrix(pairs: DataFrame, size: int) -> np.ndarray:
+    """A (size x size) matrix of counts."""
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
+def packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary rows of values[offsets[k]:offsets[k + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(rows: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary rows, and how many each row has."""
+    if not len(rows):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, at, data = rows.buffers()
+    at = np.frombuffer(at, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind), np.diff(at) // size
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -155,52 +191,101 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS)
     return of
 
 
-CONTEXT = pa.schema([("word", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+CONTEXT = pa.schema([("word", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
 
 
-def contexts(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: np.ndarray, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """For words first..last-1 how often each class stands before (its number) or after (plus their number) them.
-    Words that have no class yet count as others."""
-    size = int(classes.max()) + 1
+def contexts(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: np.ndarray, last: int) -> Iterator[pa.RecordBatch]:
+    """For each word without a class how often each class stands before (its number) or after (plus their number) it.
+    The words with one are the first of ids; all others count as one class. Words before `last` are summed up by the
+    task, later ones and those that aren't in ids by each run of rows."""
+    first, size = len(classes) - 2, int(classes[-1]) + 1
     held = np.zeros((last - first) * 2 * size, np.int32)
-    other, end = last, last + 1
-    table = np.full(last + 2, size - 2)
+    other, end = len(ids), len(ids) + 1
+    table = np.full(len(ids) + 2, size - 2)
     table[:first], table[end] = classes[:first], size - 1
+
+    def rows(words: list[bytes], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        own, begin = np.unique(keys // (2 * size), return_index=True)
+        offsets = np.append(begin, len(keys))
+        return batch(CONTEXT, word=pa.array(words, pa.binary()).take(pa.array(own)), at=packed((keys % (2 * size)).astype(np.uint16), offsets), n=packed(n.astype(np.uint32), offsets))
+
     for b in batches:
         for words, counts in word_lists(column(b, "text")):
             own, ends = sequences(words, counts, ids, other, end)
-            own[own > end] = other
             kinds = table[own]
             past = before(kinds, ends, size - 1)
             mine = np.flatnonzero((own >= first) & (own < last))
             place = (own[mine] - first) * (2 * size)
             np.add.at(held, place + past[mine], 1)
             np.add.at(held, place + size + kinds[mine + 1], 1)
+            far = np.flatnonzero((own >= last) & (own != end))
+            if len(far):
+                found, codes = coded(words, far - np.searchsorted(ends, far))
+                place = codes * (2 * size)
+                yield rows(found, *np.unique(np.concatenate([place + past[far], place + size + kinds[far + 1]]), return_counts=True))
     seen = np.flatnonzero(held)
-    words, begin = np.unique(seen // (2 * size), return_index=True)
-    offsets = pa.array([*begin.tolist(), len(seen)], pa.int32())
-    yield batch(CONTEXT, word=words + first, at=pa.ListArray.from_arrays(offsets, pa.array((seen % (2 * size)).astype(np.int32))), n=pa.ListArray.from_arrays(offsets, pa.array(held[seen].astype(np.int64))))
+    yield rows(list(ids)[first:last], seen, held[seen])
+
+
+def coded(words: list[bytes], at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words at these places, and for each place which of them it has."""
+    found: dict[bytes, int] = {}
+    codes = np.fromiter((found.setdefault(words[k], len(found)) for k in at.tolist()), np.int64, len(at))
+    return list(found), codes
+
 
+LEARNT = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32())])
+LEARNT_DDL = "word binary, n long, class int"
 
-ASSIGNED = pa.schema([("word", pa.int64()), ("class", pa.int32())])
+
+def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """A partition's rows, each column in one piece."""
+    parts = [b for b in batches if len(b)]
+    return pa.Table.from_batches(parts).combine_chunks() if parts else None
+
+
+def one(rows: pa.Table, name: str) -> pa.Array:
+    found = rows[name]
+    return found.chunk(0) if found.num_chunks == 1 else found.combine_chunks()
 
 
 def assigned(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The class under which a word's neighbours are likeliest. odds: classes x contexts, log probabilities."""
-    held: dict[int, np.ndarray] = {}
+    """Each word's count and the class under which its neighbours are likeliest. odds: classes x contexts, log
+    probabilities."""
+    rows = whole(batches)
+    if rows is None:
+        return
+    words = one(rows, "word").dictionary_encode()
+    at, sizes = unpacked(one(rows, "at"), np.uint16)
+    n = unpacked(one(rows, "n"), np.uint32)[0]
+    entry = np.repeat(words.indices.to_numpy(), sizes).astype(np.int64)
+    order = np.argsort(entry, kind="stable")
+    entry, at, n, width = entry[order], at[order], n[order], odds.shape[1]
+    for k in range(0, len(words.dictionary), WEIGHED):
+        own = words.dictionary.slice(k, WEIGHED)
+        lo, hi = np.searchsorted(entry, [k, k + len(own)])
+        counts = np.bincount((entry[lo:hi] - k) * width + at[lo:hi], n[lo:hi], len(own) * width).reshape(len(own), width)
+        yield batch(LEARNT, word=own, n=counts[:, : width // 2].sum(axis=1).astype(np.int64), **{"class": np.argmax(counts @ odds.T, axis=1)})
+
+
+RANKED = pa.schema([("id", pa.int64()), ("class", pa.int32())])
+
+
+def ranked(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """The classes of the words that every worker has."""
     for b in batches:
-        for word, at, n in zip(column(b, "word").to_pylist(), column(b, "at").to_pylist(), column(b, "n").to_pylist()):
-            held.setdefault(word, np.zeros(odds.shape[1]))[at] += n
-    if held:
-        yield batch(ASSIGNED, word=list(held), **{"class": [int(np.argmax(odds @ v)) for v in held.values()]})
+        own = np.fromiter(map(ids.get, column(b, "word").to_pylist(), repeat(-1)), np.int64, len(b))
+        seen = np.flatnonzero(own >= 0)
+        yield batch(RANKED, id=own[seen], **{"class": column(b, "class").take(pa.array(seen))})
 
 
-ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("word", pa.binary()), ("freq", pa.int64())])
-ROWS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word binary, freq long"
+ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("emit", pa.float64()), ("word", pa.binary()), ("data", pa.binary())])
+ROWS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, emit double, word binary, data binary"
 
 
-def document_rows(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: np.ndarray, base: np.ndarray, emit: np.ndarray, step: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per document a row with the sums over the workers' own words, and a row for each rarer word in it.
+def document_rows(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], classes: np.ndarray, base: np.ndarray, emit: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
+    """Per document a row with its classes and the sums over the workers' own words, and a row with the places of each
+    rarer word in it.
 
     The first kind's word is no word (it holds a space), another for each row, so that it is dealt evenly.
     """
@@ -210,23 +295,66 @@ def document_rows(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], clas
         for words, counts in word_lists(column(b, "text")):
             n = len(counts)
             own, ends = sequences(words, counts, ids, other, end)
-            kinds, first = classes[own], ends - counts
-            past = before(kinds, ends, classes[end])
+            first = ends - counts
             rows = column(b, "row").slice(at, n)
-            sums = [np.add.reduceat(x, first) for x in (base[own], emit[own] + step[past, kinds], (own != other) & (base[own] != 0))]
-            nulls = pa.nulls(n)
-            yield batch(ROWS, row=rows, doc_id=column(b, "doc_id").slice(at, n), held_out=column(b, "held_out").slice(at, n), n_tokens=counts + 1, base=sums[0], model=sums[1], known=sums[2].astype(np.int64), word=[b" %d" % r for r in rows.to_pylist()], freq=nulls)
+            sums = [np.add.reduceat(x, first) for x in (base[own], emit[own], (own != other) & (base[own] != 0))]
+            yield batch(ROWS, row=rows, doc_id=column(b, "doc_id").slice(at, n), held_out=column(b, "held_out").slice(at, n), n_tokens=counts + 1, base=sums[0], emit=sums[1], known=sums[2].astype(np.int64), word=[b" %d" % r for r in rows.to_pylist()], data=packed(classes[own].astype(kind), np.append(0, ends + 1)))
             rare = np.flatnonzero(own == other)
             if len(rare):
                 of_row = np.searchsorted(ends, rare)
-                found: dict[bytes, int] = {}
-                codes = np.fromiter((found.setdefault(words[k], len(found)) for k in (rare - of_row).tolist()), np.int64, len(rare))
-                keys, freq = np.unique(of_row * len(found) + codes, return_counts=True)
+                found, codes = coded(words, rare - of_row)
+                keys = of_row * len(found) + codes
+                order = np.argsort(keys, kind="stable")
+                keys, begin = np.unique(keys[order], return_index=True)
                 none = pa.nulls(len(keys))
-                yield batch(ROWS, row=rows.take(pa.array(keys // len(found))), doc_id=none, held_out=none, n_tokens=none, known=none, base=none, model=none, word=pa.array(list(found), pa.binary()).take(pa.array(keys % len(found))), freq=freq)
+                places = packed((rare - first[of_row])[order].astype(np.uint32), np.append(begin, len(order)))
+                yield batch(ROWS, row=rows.take(pa.array(keys // len(found))), doc_id=none, held_out=none, n_tokens=none, known=none, base=none, emit=none, word=pa.array(found, pa.binary()).take(pa.array(keys % len(found))), data=places)
             at += n
 
 
+def emission(n: np.ndarray, classes: np.ndarray, in_class: np.ndarray, unknown: int, unknown_whole: float) -> np.ndarray:
+    """log10 P(word | class) by the words' counts and classes."""
+    return np.log10(np.where(classes == unknown, (n + 1) / unknown_whole, np.maximum(n, 1) / np.maximum(in_class, 1)[classes]))
+
+
+CODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emit", pa.float64()), ("seq", pa.binary())])
+CODED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emit double, seq binary"
+
+
+def sequenced(batches: Iterator[pa.RecordBatch], kind: type, tokens: float, in_class: np.ndarray, unknown: int, unknown_whole: float) -> Iterator[pa.RecordBatch]:
+    """Documents with the classes of all their words; a partition has all rows of its documents."""
+    rows = whole(batches)
+    if rows is None:
+        return
+    is_text = pc.is_valid(rows["n_tokens"])
+    texts, rare = rows.filter(is_text).sort_by("row"), rows.filter(pc.invert(is_text))
+    seq, sizes = unpacked(one(texts, "data"), kind)
+    seq, start = seq.copy(), np.cumsum(sizes) - sizes
+    base, emit, known = (one(texts, c).to_numpy().copy() for c in ("base", "emit", "known"))
+    if len(rare):
+        text = np.searchsorted(one(texts, "row").to_numpy(), one(rare, "row").to_numpy())
+        places, freq = unpacked(one(rare, "data"), np.uint32)
+        n = pc.fill_null(one(rare, "n"), 0).to_numpy()
+        classes = pc.fill_null(one(rare, "class"), unknown).to_numpy()
+        seq[np.repeat(start[text], freq) + places] = np.repeat(classes, freq)
+        base += np.bincount(text, freq * np.log10((n + 1) / tokens), len(base))
+        emit += np.bincount(text, freq * emission(n, classes, in_class, unknown, unknown_whole), len(emit))
+        known += np.bincount(text, freq * (n > 0), len(known)).astype(np.int64)
+    yield batch(CODED, doc_id=one(texts, "doc_id"), held_out=one(texts, "held_out"), n_tokens=one(texts, "n_tokens"), n_known=known, base_score=base, emit=emit, seq=packed(seq, np.append(0, np.cumsum(sizes))))
+
+
+SCORED = pa.schema([*[f for f in CODED if f.name not in ("emit", "seq")], ("score", pa.float64())])
+
+
+def scored(batches: Iterator[pa.RecordBatch], step: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seq, sizes = unpacked(column(b, "seq"), kind)
+        if len(sizes):
+            ends = np.cumsum(sizes) - 1
+            moves = np.add.reduceat(step[before(seq, ends, len(step) - 1), seq], ends + 1 - sizes)
+            yield batch(SCORED, score=column(b, "emit").to_numpy() + moves, **{f.name: column(b, f.name) for f in SCORED if f.name != "score"})
+
+
 def brown_scores(docs: DataFrame, parts: int = 7, head: int = HEAD, classed: int = CLASSED, clustered: int = CLUSTERED, n_classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of documents(doc_id, text).
 
@@ -240,45 +368,41 @@ def brown_scores(docs: DataFrame, parts: int = 7, head: int = HEAD, classed: int
     sums = words.agg(F.sum("n"), F.count("*")).first()
     tokens, types = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    names, counts = top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64)
-    n_head, classed, clustered = len(names), min(classed, len(names)), min(clustered, len(names))
+    names, counts = top["word"].to_pylist(), top["n"].to_numpy()
+    n_head, clustered = len(names), min(max(clustered, round(GROWTH * types ** (1 / 3))), len(names))
+    classed = max(clustered, min(classed, n_head))
     ids = spark.sparkContext.broadcast({bytes(w): k for k, w in enumerate(names)})
     few = spark.sparkContext.broadcast({bytes(w): k for k, w in enumerate(names[:clustered])})
-    # Classes 0 .. n_classes - 1 by exchange, then the rare words' and the end's.
-    size = n_classes + 2
-    of = exchange(counted_pairs(training, few, None, clustered + 2), clustered, n_classes)
-    first = np.concatenate([of[:clustered], [n_classes, n_classes + 1]])
-    rare, end = n_classes, n_classes + 1
-    table = np.full(n_head + 2, rare)
-    table[:clustered], table[-1] = of[:clustered], end
-    grid = counted_pairs(training, ids, table, size) + 0.5
+    # Classes 0 .. n_classes - 1 by exchange, then all words without one and the end.
+    pairs = matrix(training.mapInArrow(lambda bs: tidied(bigrams(bs, few.value, clustered + 2)), "pair long, n long"), clustered + 2)
+    first = exchange(pairs, clustered, n_classes)
+    grid = np.full((n_classes + 2, n_classes + 2), 0.5)
+    np.add.at(grid, (first[:, None], first[None, :]), pairs)
     odds = np.concatenate([np.log(grid / grid.sum(axis=0))[:, :n_classes].T, np.log(grid / grid.sum(axis=1, keepdims=True))[:n_classes]], axis=1)
-    if classed > clustered:
-        spread = training.mapInArrow(lambda bs: tidied(contexts(bs, ids.value, first, clustered, classed)), "word long, at array<int>, n array<long>")
-        found = spread.repartition("word").mapInArrow(lambda bs: tidied(assigned(bs, odds)), "word long, class int").toArrow()
-        table[found["word"].to_numpy()] = found["class"].to_numpy()
-    grid = counted_pairs(training, ids, table, size)
+    spread = training.mapInArrow(lambda bs: tidied(contexts(bs, ids.value, first, classed)), "word binary, at binary, n binary")
+    others = spread.repartition("word").mapInArrow(lambda bs: tidied(assigned(bs, odds)), LEARNT_DDL)
+    exchanged = pa.Table.from_batches([batch(LEARNT, word=names[:clustered], n=counts[:clustered], **{"class": first[:clustered]})])
+    # All training words with their counts and classes.
+    learnt = stored(others.unionByName(spark.createDataFrame(exchanged)) if clustered else others, "classes")
+    found = learnt.mapInArrow(lambda bs: tidied(ranked(bs, ids.value)), "id long, class int").toArrow()
+    end, size, kind = n_classes, n_classes + 1, np.min_scalar_type(n_classes)
+    table = np.zeros(n_head + 2, np.int64)
+    table[found["id"].to_numpy()], table[-1] = found["class"].to_numpy(), end
+    in_class, types_in, once = np.zeros(size), np.zeros(size), np.zeros(size)
+    for r in learnt.groupBy("class").agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).collect():
+        in_class[r[0]], types_in[r[0]], once[r[0]] = r[1:]
+    unknown = int(np.argmax(once))
+    unknown_whole, all_whole = in_class[unknown] + types_in[unknown] + 1, float(tokens + types + 1)
+    # Others' sums come from the join; a known word's base is never 0, for it isn't all there is.
+    base = np.concatenate([np.log10((counts + 1) / all_whole), [0.0, np.log10((ends + 1) / all_whole)]])
+    emit = np.concatenate([emission(counts, table[:n_head], in_class, unknown, unknown_whole), [0.0, 0.0]])
+    sent = spark.sparkContext.broadcast((table, base, emit))
+    rows = numbered.mapInArrow(lambda bs: tidied(document_rows(bs, ids.value, *sent.value, kind)), ROWS_DDL)
+    joined = rows.join(learnt, "word", "left").drop("word").repartition("row")
+    texts = stored(joined.mapInArrow(lambda bs: tidied(sequenced(bs, kind, all_whole, in_class, unknown, unknown_whole)), CODED_DDL), "sequences")
+    grid = matrix(texts.where(~F.col("held_out")).select("seq").mapInArrow(lambda bs: class_bigrams(bs, size, kind), "pair long, n long"), size)
     own = grid.sum(axis=0)
     unigram = (own + 1) / (own.sum() + size)
     step = np.log10((grid + SMOOTH * unigram) / (grid.sum(axis=1, keepdims=True) + SMOOTH))
-    in_class = np.bincount(table[:n_head], counts, size)
-    rare_total = (sums[0] or 0) - in_class[:n_classes].sum()
-    rare_types = sums[1] - int((table[:n_head] != rare).sum())
-    whole, rare_whole = tokens + types + 1, rare_total + rare_types + 1
-    known = np.where(table[:n_head] == rare, np.log10((counts + 1) / rare_whole), np.log10(np.maximum(counts, 1) / np.maximum(in_class, 1)[table[:n_head]]))
-    # Others' sums come from the join; a known word's base is never 0, for it isn't all there is.
-    base = np.concatenate([np.log10((counts + 1) / whole), [0.0, np.log10((ends + 1) / whole)]])
-    emit = np.concatenate([known, [0.0, 0.0]])
-    sent = spark.sparkContext.broadcast((table, base, emit, step))
-    rows = numbered.mapInArrow(lambda bs: tidied(document_rows(bs, ids.value, *sent.value)), ROWS_DDL)
-    counted = rows.join(words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)) + 1)
-    out = counted.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("freq"))), F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.max("base") + F.coalesce(F.sum(F.col("freq") * F.log10(F.col("c") / float(whole))), F.lit(0.0))).alias("base_score"),
-        (F.max("model") + F.coalesce(F.sum(F.col("freq") * F.log10(F.col("c") / float(rare_whole))), F.lit(0.0))).alias("score"),
-    )
-    return out.drop("row")
+    out = texts.mapInArrow(lambda bs: scored(bs, step, kind), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

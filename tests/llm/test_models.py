@@ -208,6 +208,20 @@ def test_exchange_finds_classes():
     assert len({of[w] for w in range(0, 20, 2)}) == len({of[w] for w in range(1, 20, 2)}) == 1 and of[0] != of[1]
 
 
+def test_brown_rare_words_have_classes(spark):
+    rng = np.random.default_rng(5)
+    # x words stand where a words do, y words where b words do; all x and y are beyond the words that workers hold.
+    texts = [" ".join(f"{k}{rng.integers(0, 5)}" if rng.random() < 0.8 else f"{far}{rng.integers(0, 400)}" for _ in range(60) for k, far in ("ax", "by")) for _ in range(120)]
+    xs, ys = [f"x{k}" for k in range(40)], [f"y{k}" for k in range(40)]
+    turns, blocks = " ".join(w for p in zip(xs, ys, strict=True) for w in p), " ".join(xs + ys)
+    ids = [d for d in range(5000, 5100) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    docs = spark.createDataFrame([*enumerate(texts), (ids[0], turns), (ids[1], blocks)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in brown.brown_scores(docs, 7, 10, 10, 10, 2).where("held_out").collect()}
+    # The same words; only their classes tell the orders apart.
+    assert got[ids[0]].base_score == pytest.approx(got[ids[1]].base_score)
+    assert got[ids[0]].score > got[ids[1]].score + 20
+
+
 def test_brown_without_texts(spark):
     assert brown.brown_scores(frame(spark, []).limit(0) if False else spark.createDataFrame([], SCHEMA)).count() == 0
 
