@@ -3,10 +3,11 @@
 Only the histogram of piece lengths reaches the driver: at most `capacity` numbers, whatever the input's size. There
 the configuration linear program (a configuration: a multiset of lengths that fits one sequence; as few sequences as
 possible that cover the histogram) is solved by multiplicative weights. Each round prices the lengths by how little
-they are covered yet, finds the best configuration at these prices by unbounded-knapsack dynamic programming, and
-uses it until its tightest length is
-covered. Uses become whole sequences, never more than the histogram has; what is left is
-packed best-fit, longest first. The plan has, for each length and configuration, a range of ranks; pieces get a
+they are covered yet, finds the best configuration at these prices by bounded-knapsack dynamic programming, and uses it
+until its tightest length is covered; so each round covers a length at least, and rounds go on until all lengths are
+covered. Uses become whole sequences, never more than the histogram has; what is left is packed best-fit, longest
+first. That is done for the uses of the first eighth of the rounds, of two, and so on up to all: the fewest sequences
+are kept. The plan has, for each length and configuration, a range of ranks; pieces get a
 rank within their length from counts per task, and so their sequence and offset, without a shuffle of texts or ids.
 
 A null or empty text is one piece that holds just the end id. Only documents longer than the capacity are cut, into
@@ -29,8 +30,10 @@ from eddymesh.llm.common import batch, column, stored, tidied
 from eddymesh.llm.tokens import CHUNK_BYTES, KEPT_UNITS, encoder
 
 CAPACITY = 2048
-#: At most so many rounds, and lengths that a round prices (the least covered ones).
-ROUNDS, ACTIVE = 600, 400
+#: Lengths that a round prices (the least covered ones).
+ACTIVE = 400
+#: After how many parts of the rounds the plan is rounded; the one of fewest sequences is kept.
+CUTS = 8
 RATE = 4.0
 
 
@@ -99,16 +102,12 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return done
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[int, dict[int, int]]]:
-    """Configurations as (sequences, {length: pieces in each}); together they hold the histogram exactly."""
-    if not histogram:
-        return []
-    lengths = np.array(sorted(histogram), np.int64)
-    demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    covered, found = np.zeros(len(lengths)), {}
+def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rate: float = RATE) -> tuple[np.ndarray, list[tuple[bytes, float]]]:
+    """How often each length's demand is covered, and each round's configuration (its counts as bytes) and use."""
+    covered, found = np.zeros(len(lengths)), []
     #: A perfect fill is worth its tokens; long lengths are worth a little more, as they fit fewer places.
     worth = lengths * (1 + 0.05 * lengths / capacity)
-    for _ in range(rounds):
+    for _ in range(len(lengths)):
         # Multiplicative weights: a length's price falls by a factor for each share of its demand that is covered.
         open_ = np.flatnonzero(covered < 1)
         if not len(open_):
@@ -117,13 +116,21 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         own = np.zeros(len(lengths), np.int64)
         own[active] = knapsack(lengths[active], worth[active] * np.exp(-rate * covered[active]), demand[active], capacity)
         # The configuration's use: until its tightest length is covered once.
-        step = 1.0 / (own / demand).max()
-        key = own.tobytes()
-        found[key] = found.get(key, 0.0) + step
-        covered += step * own / demand
-    # Whole uses, cut so that no length is used more often than it occurs; the rest is packed best-fit.
+        share = own / demand
+        step = 1.0 / share.max()
+        found.append((own.tobytes(), step))
+        covered += step * share
+        covered[share == share.max()] = np.maximum(covered[share == share.max()], 1.0)  # whatever rounding does
+    return covered, found
+
+
+def rounded(lengths: np.ndarray, demand: np.ndarray, found: list[tuple[bytes, float]], capacity: int) -> list[tuple[int, np.ndarray]]:
+    """Whole uses, cut so that no length is used more often than it occurs; the rest is packed best-fit."""
+    uses: dict[bytes, float] = {}
+    for key, use in found:
+        uses[key] = uses.get(key, 0.0) + use
     left, plan = demand.copy(), []
-    for key, use in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+    for key, use in sorted(uses.items(), key=lambda x: (-x[1], x[0])):
         counts = np.frombuffer(key, np.int64)
         held = counts > 0
         number = int(min(np.ceil(use - 1e-9), (left[held] // counts[held]).min()))
@@ -131,7 +138,20 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         if number and waste <= capacity // 512:
             plan.append((number, counts))
             left = left - number * counts
-    plan += best_fit(lengths, left, capacity)
+    return plan + best_fit(lengths, left, capacity)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = RATE) -> list[tuple[int, dict[int, int]]]:
+    """Configurations as (sequences, {length: pieces in each}); together they hold the histogram exactly."""
+    if not histogram:
+        return []
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    covered, found = covering(lengths, demand, capacity, rate)
+    assert (covered >= 1).all(), "a length isn't covered"
+    # The last rounds have few lengths to choose from; best fit may do better there, so several cuts are tried.
+    cuts = sorted({-(-len(found) * k // CUTS) for k in range(1, CUTS + 1)})
+    plan = min((rounded(lengths, demand, found[:cut], capacity) for cut in cuts), key=lambda p: sum(number for number, _ in p))
     return [(number, {int(lengths[k]): int(counts[k]) for k in np.flatnonzero(counts)}) for number, counts in plan]
 
 

@@ -135,6 +135,19 @@ def test_plan_covers_any_histogram():
     assert packing.solve({}) == []
 
 
+def test_plan_is_solved_to_the_end():
+    rng = np.random.default_rng(7)
+    lengths = np.arange(1, 2049)
+    demand = rng.integers(1, 9, len(lengths))
+    rounds, real = [], packing.knapsack
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "knapsack", lambda at, *rest: rounds.append(set(at[(own := real(at, *rest)) > 0].tolist())) or own)
+        plan = packing.solve(dict(zip(lengths.tolist(), demand.tolist())))
+    # Each length is in some round's configuration.
+    assert set().union(*rounds) == set(lengths.tolist())
+    assert sum(n * np.array([k * c for k, c in held.items()]).sum() for n, held in plan) == (lengths * demand).sum()
+
+
 def test_media_round_trip(spark):
     docs = frame(spark, [*ODD, "y" * 192, "z" * 100_000])
     got = {r.doc_id: r for r in media.describe(media.store_texts(docs), digest=True).collect()}
