@@ -119,14 +119,18 @@ class Track:
 
 
 def track(data: bytes) -> Track:
-    """The first track that has sample tables."""
-    view, found = memoryview(data), {}
+    """The first video track that has sample tables, else the first track that has. Samples in movie fragments aren't
+    read: such a file is an error."""
+    view, tracks = memoryview(data), [{}]
     for kind, at, end in walk(view, 0, len(view)):
-        if kind == b"trak" and b"stsz" in found:
-            break
+        if kind == b"moof":
+            raise ValueError("movie fragments (moof) aren't read")
         if kind == b"trak":
-            found = {}
-        found.setdefault(kind, (at, end))
+            tracks.append({})
+        tracks[-1].setdefault(kind, (at, end))
+    tabled = [t for t in tracks if b"stsz" in t]
+    video = [t for t in tabled if b"hdlr" in t and bytes(view[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"]
+    found = [*video, *tabled, tracks[-1]][0]
     need = [b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"]
     if missing := [k.decode() for k in need if k not in found]:
         raise ValueError(f"no {', '.join(missing)} box")

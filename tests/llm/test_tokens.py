@@ -189,3 +189,27 @@ def test_empty_tables(spark):
     assert token_count.token_counts(docs, BYTES).count() == 0
     assert packing.pack(docs, WORDS).count() == 0
     assert media.describe(media.store_texts(docs)).count() == 0
+
+
+def test_media_with_audio_first_and_fragments(spark):
+    def trak(handler, codec, at, sizes):
+        stbl = media.box(
+            b"stbl",
+            media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(70))),
+            media.full(b"stts", struct.pack(">3I", 1, len(sizes), 500)),
+            media.full(b"stsc", struct.pack(">4I", 1, 1, len(sizes), 1)),
+            media.full(b"stsz", struct.pack(f">2I{len(sizes)}I", 0, len(sizes), *sizes)),
+            media.full(b"stco", struct.pack(">2I", 1, at)),
+        )
+        mdhd, hdlr = media.full(b"mdhd", struct.pack(">4I", 0, 0, 1000, 0), bytes(4)), media.full(b"hdlr", bytes(4), handler, bytes(13))
+        return media.box(b"trak", media.box(b"mdia", mdhd, hdlr, media.box(b"minf", stbl)))
+
+    data = media.box(b"mdat", b"0123456789" * 4)
+    sound, sight = trak(b"soun", b"mp4a", 8, [5, 5]), trak(b"vide", b"avc1", 18, [7, 8, 9])
+    for file in (data + media.box(b"moov", sound, sight), data + media.box(b"moov", sight, sound)):
+        found = media.track(file)
+        assert (found.codec, found.duration, found.ranges()) == ("avc1", 1500, [(18, 42)])
+    assert media.track(data + media.box(b"moov", sound)).codec == "mp4a"
+    fragmented = data + media.box(b"moov", sound, sight) + media.box(b"moof", media.box(b"traf", bytes(8)))
+    row = media.describe(spark.createDataFrame([(1, fragmented)], "id long, media binary")).first()
+    assert "fragments" in row.error and row.codec is None and row.key_ranges is None
