@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public vocabularies lie.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +29,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.ans import read_tokens, write_tokens
 
-    blocks, freq = write_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    blocks, freq = write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return read_tokens(blocks, freq, digest=True)
 
 
@@ -62,13 +66,13 @@ def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.token_count import token_counts
 
-    counted = token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    counted = token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 

@@ -13,6 +13,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.llm.common import batch, column, stored, tidied
-from eddymesh.llm.tokens import CUT, MARKS, chunks, load
+from eddymesh.llm.tokens import MARKS, chunks, load, special_strings, units
 
 #: Most frequent pre-tokens that every worker holds, whatever the input's size.
 HEAD = 1 << 17
@@ -33,20 +34,21 @@ CHUNK = 8 << 20
 
 
 class PreTokens:
-    """Units of a text to pre-tokens. A special string in a unit makes the whole unit one entry of the lexicon."""
+    """Texts to pre-tokens. A special string is an entry of the lexicon of its own, and no pre-token reaches across it."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = special_strings(self.tokenizer)
+        self.between = re.compile(f"({'|'.join(map(re.escape, self.special))})") if self.special else None
         self.normalizer, self.splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
 
-    def of(self, unit: str) -> list[str]:
-        """Pre-tokens of a unit, with the space that it begins with."""
-        if any(s in unit for s in self.special):
-            return [unit]
+    def of(self, text: str) -> list[str]:
+        """Pre-tokens of a text, or of a unit with the space that it begins with."""
+        if self.between is not None and len(parts := self.between.split(text)) > 1:
+            return [t for k, part in enumerate(parts) for t in ([part] if k % 2 else self.of(part))]
         if self.normalizer is not None:
-            unit = self.normalizer.normalize_str(unit)
-        return [unit[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(unit)]
+            text = self.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
     def later(self, unit: str) -> list[str]:
         """Pre-tokens of a space and a unit; the usual cases without the library."""
@@ -74,22 +76,22 @@ class PreTokens:
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """For each unit of a run of rows a code, where each row's units begin, and the pre-tokens of each code."""
-        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), " ")
-        offsets = lists.offsets.to_numpy()
-        units = lists.flatten().dictionary_encode()
-        codes, first = units.indices.to_numpy().astype(np.int64), offsets[:-1] - offsets[0]
-        names = units.dictionary.to_pylist()
+        codes, first, names, whole = units(texts, self.special)
+        first_names = codes[first].tolist()
         rest = np.ones(len(codes), bool)
         rest[first] = False
+        if whole.any():
+            rest &= ~np.repeat(whole, np.diff([*first, len(codes)]))
         used = np.zeros(len(names), bool)
         used[codes[rest]] = True
         made = [self.later(u) if w else [] for u, w in zip(names, used.tolist())]
-        texts_left = iter(texts.filter(pa.array(odd)).to_pylist())
-        for at, (is_odd, c) in enumerate(zip(odd.tolist(), codes[first].tolist())):
-            unit = next(texts_left) if is_odd else names[c]
-            codes[first[at]] = len(made)
-            made.append([t for u in (CUT.split(unit) if is_odd else [unit] if unit else []) for t in self.of(u)])
+        codes[~rest] = len(made)
+        made.append([])
+        whole_texts = iter(texts.filter(pa.array(whole)).to_pylist())
+        at_first = [next(whole_texts) if w else names[c] for w, c in zip(whole.tolist(), first_names)]
+        for at, text in zip(first.tolist(), at_first):
+            codes[at] = len(made)
+            made.append(self.of(text) if text else [])
         return codes, first, made
 
 

@@ -1,16 +1,15 @@
 """Token ids and counts of whole texts, one tokenizers call per distinct space-delimited unit.
 
-No pre-token of the vocabularies used here reaches across a single space that stands between two other
-characters: the byte-level pattern starts a new pre-token before such a space, and the word-end vocabulary
-drops white space. So the ids of a text are the ids of its units joined. A unit is encoded once per worker and
-kept in a table of bounded size; ids are then gathered with numpy. Special strings hold no space, so the library
-still finds them in units. Texts with two spaces in a row are encoded whole.
+No pre-token of the vocabularies used here reaches across a space with a character on either side that is no white
+space: the byte-level pattern starts a new pre-token before such a space, and the word-end vocabulary drops white
+space. So the ids of a text are the ids of its units, cut at such spaces, joined. A unit is encoded once per worker and
+kept in a table of bounded size; ids are then gathered with numpy. Texts with white space of any kind on both sides of
+a space, and texts with a special string of the vocabulary (which ends a run of white space), are encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -18,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Before a single space between two characters that are no spaces.
-CUT = re.compile(r"(?<=[^ ])(?= [^ ])")
+#: Characters that a pattern's white space may be.
+WHITE = pa.array([chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 #: Marks that make one pre-token with each other after a word.
 MARKS = "!#$%&*+,-./:;=?@)]}"
 #: Units that a worker keeps; past this the table starts anew.
@@ -37,12 +36,30 @@ def load(path: str):
     return tokenizer
 
 
-def units(text: str) -> list[str]:
-    """The text cut before each single space; joined they are the text again."""
-    if "  " in text:
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[f" {u}" for u in rest]]
+def special_strings(tokenizer) -> list[str]:
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def units(texts: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Texts cut at their spaces: a code for each unit, where each text's units begin, the distinct units by code, and
+    which texts must be taken whole instead (those with two spaces in a row count as one empty unit)."""
+    odd = pc.match_substring(texts, "  ")
+    lists = pc.split_pattern(pc.if_else(odd, pa.scalar("", texts.type), texts), " ")
+    coded = lists.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    first = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+    empty = pc.equal(pc.binary_length(names), 0)
+    white = [pc.or_(empty, pc.is_in(pc.utf8_slice_codeunits(names, *at), WHITE)).to_numpy(zero_copy_only=False) for at in ((0, 1), (-1, None))]
+    marked = np.zeros(len(names), bool)
+    for s in special:
+        marked |= pc.match_substring(names, s).to_numpy(zero_copy_only=False)
+    # A unit that begins with white space after one that ends with it; a text's first unit has none before it.
+    wrong = marked[codes]
+    wrong[1:] |= white[0][codes[1:]] & white[1][codes[:-1]] & ~np.isin(np.arange(1, len(codes)), first)
+    whole = odd.to_numpy(zero_copy_only=False)
+    if len(first):
+        whole = whole | np.logical_or.reduceat(wrong, first)
+    return codes, first, names.to_pylist(), whole
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[pa.Array]:
@@ -85,6 +102,7 @@ class Encoder:
 
     def __init__(self, path: str, kept: int = KEPT_UNITS, chunk: int = CHUNK_BYTES):
         self.tokenizer, self.kept, self.chunk = load(path), kept, chunk
+        self.special = special_strings(self.tokenizer)
         #: Ids of units after a space, of words without one and of runs of marks: three tables, for a unit may hold any character.
         self.known, self.bare, self.marks = {}, {}, {}
         self.model = self.tokenizer.model
@@ -100,7 +118,11 @@ class Encoder:
 
     def word(self, word: str, spaced: bool) -> bytes:
         """Ids of a word of Latin letters, perhaps with a space before it."""
-        named = word if self.spaced else word.lower()
+        named = word
+        if not self.spaced:
+            named = word.lower()
+            if not named.isalpha():  # a lower case of two characters may be cut between them
+                return self.direct(word)
         if not named.isascii():
             named = named.encode().decode("latin-1").translate(self.table)
         return array("I", [t.id for t in self.model.tokenize("\u0120" + named if self.spaced and spaced else named)]).tobytes()
@@ -141,36 +163,33 @@ class Encoder:
             yield self._encode(pc.fill_null(part, ""))
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), " ")
-        offsets = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
-        # The first unit of a text has no space before it; a text of runs of spaces counts as one first unit.
-        first = offsets[:-1] - offsets[0]
-        per_unit = codes.astype(np.int64)
+        codes, first, names, whole = units(texts, self.special)
+        # A text's first unit has no space before it; one that is taken whole counts as a first unit, its others as none.
         later = np.ones(len(codes), bool)
         later[first] = False
+        if whole.any():
+            later &= ~np.repeat(whole, np.diff([*first, len(codes)]))
         used = np.zeros(len(names), bool)
         used[codes[later]] = True
         get, parts = self.known.get, []
         for unit, is_used in zip(names, used.tolist()):
             parts.append((get(unit) or self.later(unit)) if is_used else b"")
         firsts, rank = {}, []
-        odd_texts = iter(texts.filter(pa.array(odd)).to_pylist())
-        for is_odd, c in zip(odd.tolist(), codes[first].tolist()):
-            if is_odd:
+        whole_texts = iter(texts.filter(pa.array(whole)).to_pylist())
+        for is_whole, c in zip(whole.tolist(), codes[first].tolist()):
+            if is_whole:
                 rank.append(len(parts))
-                parts.append(self.direct(next(odd_texts)))
+                parts.append(self.direct(next(whole_texts)))
             else:
                 if c not in firsts:
                     firsts[c] = len(parts)
                     parts.append(self.direct(names[c]) if names[c] else b"")
                 rank.append(firsts[c])
-        per_unit[first] = rank
+        codes[~later] = len(parts)
+        parts.append(b"")
+        codes[first] = rank
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         values = np.frombuffer(b"".join(parts), "<u4")
-        lengths = sizes[per_unit]
+        lengths = sizes[codes]
         counts = np.add.reduceat(lengths, first) if len(first) else lengths
-        return joined(values, (np.cumsum(sizes) - sizes)[per_unit], lengths), counts
+        return joined(values, (np.cumsum(sizes) - sizes)[codes], lengths), counts

@@ -1,6 +1,7 @@
 """Token files, counts, packing and media against the plain libraries."""
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -10,8 +11,12 @@ import pytest
 from tokenizers import Tokenizer
 
 from eddymesh.llm import ans, media, packing, token_count, tokens
+from eddymesh.llm.queries import tokenizer
 
-BYTES, WORDS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+BYTES, WORDS = (tokenizer(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
+#: White space of all kinds, marks, special strings, letters whose lower case is longer, combining marks.
+PARTS = ["foo", "Bar", "baz", "\u0130stanbul", "na\u00efve", "e\u0301", "\u00e9", " ", " ", "  ", "\n", " \n", "\t", "\u00a0", " \u00a0", "\u3000", "\u0085", "\u2003", "\x1c", "\x0b", ",", ".", "!?", "'s", "'ll", "''",
+         "<|endoftext|>", "<|startoftext|>", "<|", "123", "4", "\u4e2d\u6587", "\u00df", "\u0149", "\u017f", "\u01c5", "\u03a3", "\u0307", "\U0001f600", "-", "\u2013", "\u200b", "\r\n", "don't", "X"]
 ODD = [None, "", " ", "  ", "a  b", " x", "x ", "a\n\nb  c <|endoftext|> d", " <|endoftext|>", "é  à  b　 c", "a   b\t c \n d", "it's 3rd-hand!! ÀÉ ﬁ ß\nNext", "x" * 5000, "Word.\nNext 'tis so,\nand\r\nthen"]
 SCHEMA = "doc_id long, text string, source string, start long, part int, length int"
 
@@ -51,6 +56,32 @@ def test_known_units_words_and_marks_are_apart(path, made):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(PARTS, k=rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_random_texts_by_one_encoder(path):
+    texts, encoder = random_texts(25_000, 5), tokens.Encoder(path)
+    want, at = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), 0
+    for k in range(0, len(texts), 500):
+        for ids, counts in encoder.encode(pa.array(texts[k : k + 500])):
+            for own in np.split(ids, np.cumsum(counts)[:-1]):
+                assert own.tolist() == want[at].ids, texts[at]
+                at += 1
+    assert at == len(texts)
+
+
+def test_random_texts_by_pieces_of_pre_tokens():
+    texts, split = random_texts(25_000, 6), token_count.PreTokens(BYTES)
+    want = Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)
+    for k in range(0, len(texts), 500):
+        codes, first, made = split.coded(pa.array(texts[k : k + 500]))
+        pieces = np.array([sum(split.counts(m)) for m in made])
+        assert np.add.reduceat(pieces[codes], first).tolist() == [len(e) for e in want[k : k + 500]]
+
+
 def test_token_files_round_trip(spark):
     docs = frame(spark, [*ODD, "repeated", "repeated"])
     blocks, freq = ans.write_tokens(docs, BYTES)
@@ -135,6 +166,18 @@ def test_plan_covers_any_histogram():
     assert packing.solve({}) == []
 
 
+@pytest.mark.parametrize("histogram, fewest", [({1000: 300, 700: 300, 340: 300}, 300), ({1000: 3000, 690: 3000, 350: 3000}, 3000), ({n: 200 for n in range(600, 700)}, 6667)])
+def test_configurations_that_leave_room_are_used(histogram, fewest):
+    plan, least = packing.planned(histogram)
+    assert sum(n for n, _ in plan) == fewest and fewest - 0.01 * fewest <= least <= fewest
+
+
+def test_plan_is_near_the_bound_of_the_dual():
+    lengths, demand = np.unique(np.random.default_rng(4).integers(1, 2049, 20_000), return_counts=True)
+    plan, least = packing.planned(dict(zip(lengths.tolist(), demand.tolist())))
+    assert sum(n for n, _ in plan) <= 1.01 * least
+
+
 def test_plan_is_solved_to_the_end():
     rng = np.random.default_rng(7)
     lengths = np.arange(1, 2049)
