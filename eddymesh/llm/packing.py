@@ -6,9 +6,11 @@ possible that cover the histogram) is solved by multiplicative weights. Each rou
 they are covered yet, finds the best configuration at these prices by bounded-knapsack dynamic programming, and uses it
 until its tightest length is covered; so each round covers a length at least, and rounds go on until all lengths are
 covered. Uses become whole sequences, never more than the histogram has; what is left is packed best-fit, longest
-first. That is done for the uses of the first eighth of the rounds, of two, and so on up to all: the fewest sequences
-are kept. The plan has, for each length and configuration, a range of ranks; pieces get a
-rank within their length from counts per task, and so their sequence and offset, without a shuffle of texts or ids.
+first. That is done for the uses of all rounds, of seven eighths of them, and so on; with all configurations and with
+those that waste little; and at prices that favour long lengths more, if the plan isn't within a thousandth of the
+bound that the program's dual gives: the fewest sequences are kept. The plan has, for each length and configuration, a
+range of ranks; pieces get a rank within their length from counts per task, and so their sequence and offset, without a
+shuffle of texts or ids.
 
 A null or empty text is one piece that holds just the end id. Only documents longer than the capacity are cut, into
 pieces of the capacity; the last may be shorter. Repeated rows are packed each for itself. An empty table gives no
@@ -17,6 +19,7 @@ rows. Other columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +37,11 @@ CAPACITY = 2048
 ACTIVE = 400
 #: After how many parts of the rounds the plan is rounded; the one of fewest sequences is kept.
 CUTS = 8
+#: Which share of a sequence a configuration may leave empty to be used as it is; tried in turn.
+WASTES = (1.0, 1 / 512, 1 / 64)
+#: How much more a token of a long length is worth than one of a short length; tried in turn, until the plan has at
+#: most this share of sequences more than the bound.
+BIASES, CLOSE = (0.05, 1.0, 4.0), 0.001
 RATE = 4.0
 
 
@@ -102,30 +110,50 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return done
 
 
-def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rate: float = RATE) -> tuple[np.ndarray, list[tuple[bytes, float]]]:
-    """How often each length's demand is covered, and each round's configuration (its counts as bytes) and use."""
+def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> float:
+    """The demand's worth at prices under which no configuration is worth more than 1, so no packing has fewer
+    sequences: lengths priced by how many of them fit (rounded down to k-ths), or as a share of the capacity where the
+    shortest are free and those that leave too little for the others cost 1."""
+    best = 0.0
+    for k in range(1, 64):
+        steps = (k + 1) * lengths
+        best = max(best, float((demand * np.where(steps % capacity == 0, lengths / capacity, steps // capacity / k)).sum()))
+    for least in np.unique(np.append(lengths[lengths <= capacity // 2], 0)).tolist():
+        prices = np.where(lengths > capacity - least, 1.0, np.where(lengths >= least, lengths / capacity, 0.0))
+        best = max(best, float((demand * prices).sum()))
+    return best
+
+
+def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rate: float = RATE, bias: float = BIASES[0]) -> tuple[np.ndarray, list[tuple[bytes, float]], float]:
+    """How often each length's demand is covered, each round's configuration (its counts as bytes) and use, and a bound
+    that no packing goes below."""
     covered, found = np.zeros(len(lengths)), []
-    #: A perfect fill is worth its tokens; long lengths are worth a little more, as they fit fewer places.
-    worth = lengths * (1 + 0.05 * lengths / capacity)
+    bound = 0.0
+    # A perfect fill is worth its tokens; long lengths are worth more, as they fit fewer places.
+    worth = lengths * (1 + bias * lengths / capacity)
     for _ in range(len(lengths)):
         # Multiplicative weights: a length's price falls by a factor for each share of its demand that is covered.
         open_ = np.flatnonzero(covered < 1)
         if not len(open_):
             break
         active = open_[np.argsort(covered[open_], kind="stable")[:ACTIVE]]
+        prices = worth[active] * np.exp(-rate * covered[active])
         own = np.zeros(len(lengths), np.int64)
-        own[active] = knapsack(lengths[active], worth[active] * np.exp(-rate * covered[active]), demand[active], capacity)
+        own[active] = knapsack(lengths[active], prices, demand[active], capacity)
+        # At prices divided by the best configuration's no configuration is worth more than 1.
+        bound = max(bound, float((prices * demand[active]).sum() / (prices * own[active]).sum()))
         # The configuration's use: until its tightest length is covered once.
         share = own / demand
         step = 1.0 / share.max()
         found.append((own.tobytes(), step))
         covered += step * share
         covered[share == share.max()] = np.maximum(covered[share == share.max()], 1.0)  # whatever rounding does
-    return covered, found
+    return covered, found, bound
 
 
-def rounded(lengths: np.ndarray, demand: np.ndarray, found: list[tuple[bytes, float]], capacity: int) -> list[tuple[int, np.ndarray]]:
-    """Whole uses, cut so that no length is used more often than it occurs; the rest is packed best-fit."""
+def rounded(lengths: np.ndarray, demand: np.ndarray, found: list[tuple[bytes, float]], capacity: int, waste: int) -> list[tuple[int, np.ndarray]]:
+    """Whole uses of the configurations that leave at most `waste` places, cut so that no length is used more often
+    than it occurs; the rest is packed best-fit."""
     uses: dict[bytes, float] = {}
     for key, use in found:
         uses[key] = uses.get(key, 0.0) + use
@@ -134,25 +162,41 @@ def rounded(lengths: np.ndarray, demand: np.ndarray, found: list[tuple[bytes, fl
         counts = np.frombuffer(key, np.int64)
         held = counts > 0
         number = int(min(np.ceil(use - 1e-9), (left[held] // counts[held]).min()))
-        waste = capacity - int((counts * lengths).sum())
-        if number and waste <= capacity // 512:
+        if number and capacity - int((counts * lengths).sum()) <= waste:
             plan.append((number, counts))
             left = left - number * counts
     return plan + best_fit(lengths, left, capacity)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = RATE) -> list[tuple[int, dict[int, int]]]:
-    """Configurations as (sequences, {length: pieces in each}); together they hold the histogram exactly."""
+def planned(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = RATE) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """Configurations as (sequences, {length: pieces in each}); together they hold the histogram exactly. And the
+    fewest sequences that the program's dual allows for."""
     if not histogram:
-        return []
+        return [], 0
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    covered, found = covering(lengths, demand, capacity, rate)
-    assert (covered >= 1).all(), "a length isn't covered"
-    # The last rounds have few lengths to choose from; best fit may do better there, so several cuts are tried.
-    cuts = sorted({-(-len(found) * k // CUTS) for k in range(1, CUTS + 1)})
-    plan = min((rounded(lengths, demand, found[:cut], capacity) for cut in cuts), key=lambda p: sum(number for number, _ in p))
-    return [(number, {int(lengths[k]): int(counts[k]) for k in np.flatnonzero(counts)}) for number, counts in plan]
+    bound, plan = dual_bound(lengths, demand, capacity), None
+    for bias in BIASES:
+        covered, found, of_round = covering(lengths, demand, capacity, rate, bias)
+        assert (covered >= 1).all(), "a length isn't covered"
+        bound = max(bound, of_round)
+        least = int(np.ceil(bound - 1e-6))
+        # The last rounds have few lengths to choose from; best fit may do better there, or with all that fits loosely,
+        # so several cuts are tried. The last has no configuration at all.
+        cuts = sorted({-(-len(found) * k // CUTS) for k in range(CUTS + 1)}, reverse=True)
+        for waste, cut in itertools.product(WASTES, cuts):
+            made = rounded(lengths, demand, found[:cut], capacity, int(waste * capacity))
+            if plan is None or sum(n for n, _ in made) < sum(n for n, _ in plan):
+                plan = made
+            if sum(n for n, _ in plan) <= least:
+                break
+        if sum(n for n, _ in plan) <= least * (1 + CLOSE):
+            break
+    return [(number, {int(lengths[k]): int(counts[k]) for k in np.flatnonzero(counts)}) for number, counts in plan], least
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = RATE) -> list[tuple[int, dict[int, int]]]:
+    return planned(histogram, capacity, rate)[0]
 
 
 PIECES = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("local_rank", pa.int64())])
