@@ -12,7 +12,7 @@ from eddymesh.llm.mixing import mixed
 from eddymesh.llm.near_dedup import deduplicated
 from eddymesh.llm.packing import pack
 from eddymesh.llm.quality import fitted, quality_scores
-from eddymesh.llm.queries import TOKENIZERS, table
+from eddymesh.llm.queries import table, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
-    return pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", kept=60_000, chunk=2 << 20)
+    return pack(docs, tokenizer("word_bpe_49k.json"), kept=60_000, chunk=2 << 20)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_dedup), ("mix", mix), ("pack", packed)]
