@@ -16,14 +16,30 @@ def test_top_k(spark, k, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(200)]
     rows += [(i, rows[3][1]) for i in range(200, 280)]  # one very common vector
-    bad = [(300, None), (320, [None] * 8), (340, [math.nan] * 8), (360, [math.inf] * 8), (380, [1.0] * 5), (400, [])]
+    rows += [(280 + i, [float(x) for x in rng.normal(0, 0.3, 5)]) for i in range(30)]  # of another length
+    bad = [(400, None), (420, [None] * 8), (440, [math.nan] * 8), (460, [math.inf] * 8), (480, [])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(5)
     own = df.select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
     got = sorted(tuple(r) for r in topk.top_k(own, own.where("id % 20 = 0"), k).collect())
     q = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows}
     want = []
     for i in (i for i in q if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:k]
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))[:k]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1e5, 1e7, 3e7, 1e9, 3e38])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 4) * (size if i % 3 else 1.0)]) for i in range(120)] + [(121, [size, -size, size, 0.5]), (140, [-size] * 4), (160, [size] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    own = df.select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    got = sorted(tuple(r) for r in topk.top_k(own, own.where("id % 20 = 0"), 9).collect())
+    q = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows}
+    want = []
+    for i in (i for i in q if i % 20 == 0):
+        best = sorted((-min(topk.MOST, max(topk.LEAST, sum(a * b for a, b in zip(q[i], q[j])))), j) for j in q if j != i)[:9]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert got == sorted(want)
 
