@@ -7,8 +7,9 @@ samples (codec "raw "), in chunks of FRAMES_A_CHUNK frames. `payload` reads the
 the tables.
 
 Null and empty payloads are stored as one frame of spaces. A value that is null, truncated or no ISO file gives nulls
-in every described column and a message in `error`. Rows are handled each for itself, one value in memory at a time;
-repeated rows give equal values, an empty table an empty result.
+in every described column and a message in `error`; so does a file of movie fragments, whose samples aren't read. Rows
+are handled each for itself, in runs of at most CHUNK bytes or one longer value; repeated rows give equal values, an
+empty table an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.llm.common import batch, column, tidied
+from eddymesh.llm.tokens import chunks
 
 #: Bytes of a frame (16 x 12 grey samples), frames of a chunk, frames a second.
 FRAME, WIDTH, HEIGHT, FRAMES_A_CHUNK, RATE = 192, 16, 12, 64, 25
+#: Bytes of texts or files that are worked on at once; a longer one is alone.
+CHUNK = 4 << 20
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -118,6 +122,18 @@ class Track:
         return list(zip(first[new].tolist(), past[np.concatenate([new[1:] - 1, [len(past) - 1]])].tolist()))
 
 
+def compact_sizes(view: memoryview, at: int, end: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits."""
+    bits, n = view[at + 7], struct.unpack_from(">I", view, at + 8)[0]
+    at += 12
+    if bits not in (4, 8, 16) or at + -(-n * bits // 8) > end:
+        raise ValueError("b'stz2' is shorter than its count, or of another width")
+    if bits == 4:
+        pairs = np.frombuffer(view, np.uint8, -(-n // 2), at)
+        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(view, f">u{bits // 8}", n, at).astype(np.int64)
+
+
 def track(data: bytes) -> Track:
     """The first video track that has sample tables, else the first track that has. Samples in movie fragments aren't
     read: such a file is an error."""
@@ -128,10 +144,10 @@ def track(data: bytes) -> Track:
         if kind == b"trak":
             tracks.append({})
         tracks[-1].setdefault(kind, (at, end))
-    tabled = [t for t in tracks if b"stsz" in t]
+    tabled = [t for t in tracks if b"stsz" in t or b"stz2" in t]
     video = [t for t in tabled if b"hdlr" in t and bytes(view[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"]
     found = [*video, *tabled, tracks[-1]][0]
-    need = [b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"]
+    need = [b"mdhd", b"stsd", b"stts", b"stsc", b"stz2" if b"stz2" in found else b"stsz"]
     if missing := [k.decode() for k in need if k not in found]:
         raise ValueError(f"no {', '.join(missing)} box")
 
@@ -147,9 +163,13 @@ def track(data: bytes) -> Track:
     timescale, duration = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
     at, _ = found[b"stsd"]
     codec = bytes(view[at + 12 : at + 16]).decode("latin-1")
-    at, _ = found[b"stsz"]
-    each, n = struct.unpack_from(">II", view, at + 4)
-    sizes = np.full(n, each, np.int64) if each else table(b"stsz", 1, 4)[:, 0]
+    if b"stsz" in found:
+        at, _ = found[b"stsz"]
+        each, n = struct.unpack_from(">II", view, at + 4)
+        sizes = np.full(n, each, np.int64) if each else table(b"stsz", 1, 4)[:, 0]
+    else:
+        sizes = compact_sizes(view, *found[b"stz2"])
+        n = len(sizes)
     chunks = table(b"co64", 1, form=">u8")[:, 0] if b"co64" in found else table(b"stco", 1)[:, 0]
     runs = table(b"stsc", 3)
     per_chunk = np.zeros(len(chunks), np.int64)
@@ -185,10 +205,11 @@ STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", p
 
 def stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        names, texts = column(b, "doc_id"), column(b, "text")
-        for at in range(0, len(names), 256):
-            made = [padded(t.as_py()) for t in texts.slice(at, 256)]
-            yield batch(STORED, doc_id=names.slice(at, 256), n_bytes=[n for n, _ in made], media=[store(x) for _, x in made])
+        names, at = column(b, "doc_id"), 0
+        for part in chunks(column(b, "text"), CHUNK):
+            made = [padded(t) for t in part.to_pylist()]
+            yield batch(STORED, doc_id=names.slice(at, len(part)), n_bytes=[n for n, _ in made], media=[store(x) for _, x in made])
+            at += len(part)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -204,10 +225,10 @@ DIGEST_DDL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_
 
 def described(batches: Iterator[pa.RecordBatch], names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        media = column(b, "media")
-        for at in range(0, len(media), 256):
+        at = 0
+        for part in chunks(column(b, "media"), CHUNK):
             rows: list[dict] = []
-            for value in media.slice(at, 256):
+            for value in part:
                 data, row = value.as_py(), {}
                 try:
                     of = track(data)
@@ -219,8 +240,9 @@ def described(batches: Iterator[pa.RecordBatch], names: list[str], digest: bool)
                     row["error"] = str(e) or "no media"
                 rows.append(row)
             kinds = FOUND | (DIGEST if digest else {})
-            kept = [b.column(b.schema.get_field_index(n)).slice(at, 256) for n in names]
+            kept = [b.column(b.schema.get_field_index(n)).slice(at, len(part)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()]], names=[*names, *kinds])
+            at += len(part)
 
 
 def describe(df: DataFrame, digest: bool = False) -> DataFrame:

@@ -55,9 +55,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eddymesh.llm.common import stored
     from eddymesh.llm.media import describe, store_texts
 
-    found = describe(store_texts(table(spark, sf_dir, "documents")), digest=True)
+    found = describe(stored(store_texts(table(spark, sf_dir, "documents")), "media"), digest=True)
     ranges = F.array_join(F.transform("key_ranges", lambda r: F.concat_ws("-", r[0], r[1])), ",")
     feature = F.concat(F.trim("codec"), F.lit(";"), "duration", F.lit("/"), "timescale", F.lit(";"), "samples", F.lit(";"), ranges)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

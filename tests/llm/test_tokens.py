@@ -225,8 +225,23 @@ def test_media_of_other_files(spark):
     assert all(got[k].error and got[k].codec is None for k in (2, 3, 4, 5))
 
 
+@pytest.mark.parametrize("bits, coded", [(4, bytes([0x57, 0xB3, 0x20])), (8, bytes([5, 7, 11, 3, 2])), (16, struct.pack(">5H", 5, 7, 11, 3, 2))])
+def test_media_with_compact_sizes(bits, coded):
+    stbl = media.box(
+        b"stbl",
+        media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(70))),
+        media.full(b"stts", struct.pack(">3I", 1, 5, 100)),
+        media.full(b"stsc", struct.pack(">4I", 1, 1, 5, 1)),
+        media.full(b"stz2", struct.pack(">3xBI", bits, 5), coded),
+        media.full(b"stco", struct.pack(">2I", 1, 8)),
+    )
+    mdhd = media.full(b"mdhd", struct.pack(">4I", 0, 0, 1000, 0), bytes(4))
+    found = media.track(media.box(b"mdat", bytes(28)) + media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", stbl)))))
+    assert (found.sizes.tolist(), found.duration, found.ranges()) == ([5, 7, 11, 3, 2], 500, [(8, 36)])
+
+
 def test_empty_tables(spark):
-    docs = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    docs = spark.createDataFrame([], SCHEMA)
     blocks, freq = ans.write_tokens(docs, BYTES)
     assert ans.read_tokens(blocks, freq).count() == 0
     assert token_count.token_counts(docs, BYTES).count() == 0
