@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIBC = ctypes.CDLL(None)
-#: What cuts of files and local rows follow.
-PARALLELISM = "spark.sql.leafNodeDefaultParallelism"
 #: A word, as Java's and DuckDB's patterns read it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z on UTF-8 bytes; bytes.split() then cuts at exactly 0x20 and 0x09-0x0D.
@@ -22,8 +20,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all tasks run on this
+    machine (tests), a local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or f"file://{tempfile.gettempdir()}/eddymesh-shared").rstrip("/")
 
 
@@ -35,25 +36,10 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rereadable(docs: DataFrame) -> DataFrame:
-    """docs, if it is a table with columns or rows picked, whose rows come in the same order whenever they are read
-    and whatever columns are; else a written copy of it. Row numbers of two reads then agree.
-
-    How files are cut into partitions follows the number of cores at hand, unless it is set. It is set here where it
-    isn't, for the session: executors lost or won between two reads then change no row number."""
-    spark = docs.sparkSession
-    if spark.conf.get(PARALLELISM, None) is None:
-        spark.conf.set(PARALLELISM, str(spark.sparkContext.defaultParallelism))
-
-    def nodes(plan) -> set[str]:
-        found = {plan.nodeName().split(" ")[0]}
-        children = plan.children()
-        for k in range(children.size()):
-            found |= nodes(children.apply(k))
-        return found
-
-    plain = {"LogicalRelation", "Relation", "Project", "Filter", "SubqueryAlias", "LocalRelation", "LogicalRDD", "Scan", "Range"}
-    return docs if nodes(docs._jdf.queryExecution().analyzed()) <= plain else stored(docs, "documents")
+def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """row (a number of its own for each row) and of (a struct of the columns of docs, or of these): a written table, so
+    that whoever reads it again finds the same numbers, whatever docs is."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("of")), "numbered")
 
 
 def n_words(text: Column) -> Column:

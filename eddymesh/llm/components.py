@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from eddymesh.llm.common import stored
 
+#: Steps towards the root between two written tables.
+JUMPS = 3
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of edges(a long, b long): root is the smallest node of its component.
@@ -23,7 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         parent = stored(left.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
         while True:
             above = parent.select(F.col("hi").alias("up"), F.col("up").alias("top"))
-            jumped = stored(parent.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents")
+            jumped = parent.withColumn("moved", F.lit(False))
+            for _ in range(JUMPS):
+                jumped = jumped.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"), (F.col("moved") | F.col("top").isNotNull()).alias("moved"))
+            jumped = stored(jumped, "parents")
             parent = jumped.select("hi", "up")
             if jumped.where("moved").isEmpty():
                 break

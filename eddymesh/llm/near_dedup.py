@@ -13,14 +13,13 @@ connected components.
 3. A pair's registers give a similarity, corrected for registers that agree by chance; pairs further below the
    threshold than six standard errors go, all others are verified on full sets.
 4. Buckets whose other members aren't all in one component yet are compared in blocks of at most about BLOCK members
-   by BLOCK: sketches first, full sets then, and only between components. A block passes on just the links that join
+   and BLOCK_SHINGLES shingles by as many: sketches first, full sets then, and only between components. A block passes on just the links that join
    components there, so a group of n members gives at most n of them, and no pair of different texts that share a band
    is left out.
 
 Rows with null doc_id or the same doc_id are nodes of their own. A component's id is its smallest doc_id (null only if
-all are), and its kept row the first by (doc_id, place in the input). Other columns are left alone; empty tables give
-empty results. Input that isn't a plain table is written first, so that a second read gives the same rows in the same order; that is
-verified.
+all are), and its kept row the first by (doc_id, place in the input). Other columns are left alone, whatever their
+names; empty tables give empty results. Rows are numbered in a written table, which all later steps read.
 """
 
 from __future__ import annotations
@@ -33,13 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import LOWER, batch, column, rereadable, stored, tidied
+from eddymesh.llm.common import LOWER, batch, column, numbered, stored, tidied
 from eddymesh.llm.components import components
 from eddymesh.llm.tokens import chunks
 
 REGISTERS, ROWS, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // ROWS
-BLOCK = 512
+#: Members of a block, and shingles of all of them on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Bytes of text whose words are in memory at once; a longer text is alone.
 CHUNK = 2 << 20
 #: The share of a union that must be common, as a fraction.
@@ -230,14 +230,15 @@ def bands() -> Column:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """row, doc_id, n_shingles, component_id and kept of each row of documents(doc_id, text).
-
-    `row` is monotonically_increasing_id() over docs.
-    """
-    docs = rereadable(docs)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = stored(numbered.mapInArrow(lambda bs: tidied(signed(bs, k)), SIGNED_DDL), "sketches")
-    classes = members.groupBy("key").agg(F.min("row").alias("class"))
+    """row (a number of its own for each row), doc_id, n_shingles, component_id and kept of documents(doc_id, text)."""
+    return grouped(numbered(docs, ["doc_id", "text"]), k, threshold)
+
+
+def grouped(rows: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """near_duplicates of numbered rows(row, of: a struct with doc_id and text)."""
+    texts = rows.select("row", F.col("of.doc_id").cast("long").alias("doc_id"), F.col("of.text").alias("text"))
+    members = stored(texts.mapInArrow(lambda bs: tidied(signed(bs, k)), SIGNED_DDL), "sketches")
+    classes = stored(members.groupBy("key").agg(F.min("row").alias("class")), "classes")
     heads = members.where("n > 0").join(classes.select(F.col("class").alias("row")), "row", "left_semi")
     in_bands = heads.select("row", F.explode(bands()).alias("band"))
     buckets = in_bands.groupBy("band").agg(F.min("row").alias("pivot"), F.count("*").alias("members")).where("members > 1")
@@ -253,31 +254,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = TH
 
     near = stored(both(pairs, signs).mapInArrow(lambda bs: tidied(likely(bs, threshold)), "a long, b long"), "likely-pairs")
     # Full sets of those that a comparison on full sets can need.
-    wide = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
-    need = near.select(F.col("a").alias("row")).union(near.select("b")).union(shared.join(wide, "band", "left_semi").select("row")).distinct()
-    texts = numbered.select("row", "text").join(members.select("row", "n", "key", "registers").join(need, "row", "left_semi"), "row")
-    sets = stored(texts.mapInArrow(lambda bs: tidied(full_sets(bs, k)), "row long, n long, registers binary, shingles binary"), "shingles")
+    need = near.select(F.col("a").alias("row")).union(near.select("b")).union(shared.where("members > 2").select("row")).distinct()
+    needed = texts.select("row", "text").join(members.select("row", "n", "key", "registers").join(need, "row", "left_semi"), "row")
+    sets = stored(needed.mapInArrow(lambda bs: tidied(full_sets(bs, k)), "row long, n long, registers binary, shingles binary"), "shingles")
     links = stored(both(near, sets.select("row", "shingles")).mapInArrow(lambda bs: tidied(verified(bs, threshold)), "a long, b long"), "links")
     found = components(links)
     # Members of buckets of which some aren't in one component yet, without the pivot, which all were compared to.
-    rest = shared.where("row <> pivot").select("band", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_ = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low < high").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = shared.where("row <> pivot and members > 2").select("band", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rest = rest.join(members.select("row", "n"), "row")
+    open_ = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("n").alias("size")).where("low < high")
+    open_ = stored(open_.select("band", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "open-buckets")
+    dealt = rest.drop("n").join(open_, "band").withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("band", "row", "root", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), (F.col("own") > F.col("with")).cast("int").alias("side"))
     full = keyed.join(sets, "row")
     blocks = full.repartition("band", "one", "other").sortWithinPartitions("band", "one", "other", "row")
     more = stored(blocks.mapInArrow(lambda bs: tidied(compared_blocks(bs, threshold)), "a long, b long"), "links")
     if not more.isEmpty():
         found = components(links.union(more))
-    # From classes back to rows.
-    of_class = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("root"))
+    # From classes back to rows. Both tables of a class or a component are written before they meet the rows, so that
+    # these joins are of two shuffled tables, whose crowded partitions Spark can split.
+    of_class = stored(classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("root")), "roots")
     labelled = stored(members.select("row", "doc_id", "n", "key").join(of_class, "key").drop("key"), "labelled")
-    first = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    first = stored(labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first-rows")
     return labelled.join(first, "root").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with their columns."""
-    docs = rereadable(docs)
-    kept = near_duplicates(docs, k, threshold).where("kept").select(F.col("row").alias("near_dedup_row"))
-    return docs.withColumn("near_dedup_row", F.monotonically_increasing_id()).join(kept, "near_dedup_row", "left_semi").drop("near_dedup_row")
+    rows = numbered(docs)
+    return rows.join(grouped(rows, k, threshold).where("kept").select("row"), "row", "left_semi").select("of.*")

@@ -23,7 +23,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eddymesh.llm.near_dedup import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=(80, 100))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

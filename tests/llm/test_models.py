@@ -1,6 +1,7 @@
 """Classifier, language model, near-dedup and line dedup against brute force."""
 
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -243,14 +244,29 @@ def test_quality(spark, sf):
     assert quality.quality_scores(both.limit(0), none).count() == 0
 
 
-def test_row_numbers_do_not_follow_the_cores_at_hand(spark, tmp_path):
-    spark.conf.unset(common.PARALLELISM)
-    docs = spark.createDataFrame([(k, f"text {k} " * 40) for k in range(400)], "doc_id long, text string")
-    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
-    read = common.rereadable(spark.read.parquet(f"{tmp_path}/docs"))
-    assert spark.conf.get(common.PARALLELISM) == str(spark.sparkContext.defaultParallelism)
-    kept = spark.conf.get(common.PARALLELISM)
-    spark.conf.set(common.PARALLELISM, "3")  # one that is set stays
-    common.rereadable(read)
-    assert spark.conf.get(common.PARALLELISM) == "3"
-    spark.conf.set(common.PARALLELISM, kept)
+def test_row_numbers_stay(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "r") for k in range(400)], "doc_id long, text string, row string").repartition(7).orderBy(F.rand())
+    rows = common.numbered(docs)
+    assert rows.select("row").distinct().count() == 400 and rows.select("of.*").columns == docs.columns
+    assert sorted((r.row, r.of.doc_id) for r in rows.collect()) == sorted((r.row, r.of.doc_id) for r in rows.repartition(3).collect())
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    conf = type("Conf", (), {"get": lambda self, key, default=None: None})()
+    context = type("Context", (), {"getConf": lambda self: conf, "master": "spark://host:7077"})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(type("Session", (), {"sparkContext": context, "conf": conf})())
+
+
+def test_operators_leave_columns_of_their_own_names_alone(spark):
+    rows = [(1, "a b c d e f g", "x", 1, 2, "o"), (2, "a b c d e f g", "y", 3, 4, "p"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_dedup_row string, row int, key int, of string")
+    assert sorted(tuple(r) for r in near_dedup.deduplicated(docs).collect()) == [rows[0], rows[2]]
+    assert sorted(tuple(r) for r in line_dedup.line_dedup(docs).collect()) == rows
+
+
+def test_line_dedup_of_equal_lines_is_linear(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["one line of seven words is this"] * 30_000)), (2, "a line " * 30)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: len(r.removed) for r in line_dedup.line_dedup(docs, report=True).collect()}
+    assert got == {1: 29_999, 2: 0} and time.perf_counter() - began < 60
