@@ -8,12 +8,14 @@ passes first; of the last pass those whose middle lies within the rest of the ta
 taken words is a cumulated demand; the inverse of the integrated schedule turns it into a training time, by which the
 documents are sorted over all partitions.
 
-Running sums within a source are taken in two steps, over hash ranges and within them, as many ranges as the root of
-the source's rows: no task gets a whole source. Everything is DataFrame operations.
+Running sums within a source are taken in two steps, over the partitions of a range sort by source, hash, doc_id, size,
+text and row, and within them: no task gets a whole source, nor all rows of one doc_id. Everything is DataFrame
+operations; texts take no part but in the last join and sort.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0: they are never taken for their
-words, and count as taken 0 times. Rows with the same doc_id are separate rows. Ties of the hash go by doc_id, size
-and text. An empty table gives an empty result.
+words, and count as taken 0 times. Rows with the same doc_id are separate rows. Ties of the hash go by doc_id,
+size, a hash of the text and place in the input. An empty table gives an empty result. The few windows over the sources
+themselves, a row each, are one task's work.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import n_words, stored
+from eddymesh.llm.common import n_words, numbered, stored
 
 #: (time, weight) breakpoints of the default schedules, for the sources in turn: rising to 5, falling to 2, level at 1.
 SCHEDULES = [[(0.0, 2.5), (1.0, 7.5)], [(0.0, 3.0), (1.0, 1.0)], [(0.0, 1.0), (1.0, 1.0)]]
@@ -47,8 +49,8 @@ def time_of(schedule: list[tuple[float, float]], share: Column) -> Column:
 
 
 def targets(sized: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """A row for each source: no_source, source_name (the join's keys), kind (its schedule), source_size, n_rows, target."""
-    sums = sized.groupBy("no_source", "source_name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    """A row for each source: no_source, source_name (the join's keys), kind (its schedule), source_size, target."""
+    sums = sized.groupBy("no_source", "source_name").agg(F.sum("size").alias("source_size"))
     turns = F.array(*[F.lit(float(integral(s))) for s in schedules])
     # Windows over the sources only: a row each.
     ranked = sums.selectExpr("*", f"cast((row_number() over (order by no_source, source_name) - 1) % {len(schedules)} as int) as kind")
@@ -60,21 +62,24 @@ def targets(sized: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: i
     )
     # The first source that isn't full at the level which the ones before leave sets the level for all after it.
     final = filled.selectExpr("*", "min(case when level >= at_level then struct(level, no_source, source_name, at_level) end) over () as first_open")
-    return final.select("no_source", "source_name", "kind", "source_size", "n_rows", F.least(F.col("cap").cast("double"), F.coalesce(F.col("first_open.at_level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
-
-
-def placed(docs: DataFrame, schedules, share: float, most: int) -> DataFrame:
-    """mix_row (a struct of the columns of docs), doc_id, size, source_size, target, passes, taken, positions."""
-    place = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / 2.0**32
-    sized = docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("mix_key")).withColumn("mix_place", place)
-    keys = ["no_source", "source_name"]
-    goals = stored(targets(sized, schedules, share, most).withColumn("n_ranges", F.ceil(F.sqrt("n_rows"))), "targets")
+    return final.select("no_source", "source_name", "kind", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("first_open.at_level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+
+
+def placed(rows: DataFrame, schedules, share: float, most: int) -> DataFrame:
+    """row, size, source_size, target, passes, taken and positions of numbered rows(row, of)."""
+    size, key = n_words(F.col("of.text")), F.md5(F.coalesce(F.col("of.doc_id").cast("string"), F.lit("")))
+    source = [F.col("of.source").isNull().alias("no_source"), F.coalesce("of.source", F.lit("")).alias("source_name")]
+    # From here on rows are narrow; texts come back at the end.
+    sized = stored(rows.select("row", F.col("of.doc_id").alias("doc_id"), size.alias("size"), *source, key.alias("mix_key"), F.xxhash64("of.text").alias("mix_tie")), "sizes")
+    keys, order = ["no_source", "source_name"], ["mix_key", "doc_id", "size", "mix_tie", "row"]
+    goals = stored(targets(sized, schedules, share, most), "targets")
+    # Written with their partition, whose sums come first.
+    ordered = stored(sized.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "ordered")
+    sums = stored(ordered.groupBy(*keys, "part").agg(F.sum("size").alias("part_size")), "part-sums")
+    before = sums.selectExpr(*keys, "part", "sum(part_size) over (partition by no_source, source_name order by part) - part_size as part_before")
+    within = ordered.selectExpr("*", f"sum(size) over (partition by part, no_source, source_name order by {', '.join(order)} rows between unbounded preceding and current row) as upto")
     # Few sources go to every task, so that rows stay where they are; more of them meet their rows by shuffle.
-    ranged = sized.join(F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals, keys).withColumn("mix_range", F.floor(F.col("mix_place") * F.col("n_ranges")))
-    # Written, or the sums would be dealt out by source alone, as the window over them is.
-    ranges = stored(ranged.groupBy(*keys, "mix_range").agg(F.sum("size").alias("range_size")), "ranges")
-    before = ranges.selectExpr(*keys, "mix_range", "sum(range_size) over (partition by no_source, source_name order by mix_range) - range_size as range_before")
-    summed = ranged.join(before, [*keys, "mix_range"]).withColumn("middle", F.expr("range_before + sum(size) over (partition by no_source, source_name, mix_range order by mix_key, doc_id, size, mix_row.text rows between unbounded preceding and current row) - size / 2"))
+    summed = within.join(before, [*keys, "part"]).join(F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals, keys).withColumn("middle", F.expr("part_before + upto - size / 2"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     passes = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("mix_whole") + (F.col("middle") <= F.col("target") - F.col("mix_whole") * F.col("source_size")).cast("int"))
     taken = summed.withColumn("mix_whole", whole).withColumn("passes", passes.cast("int"))
@@ -87,7 +92,7 @@ def placed(docs: DataFrame, schedules, share: float, most: int) -> DataFrame:
         return F.when(F.col("passes") > copy, found)
 
     out = taken.withColumn("taken", (F.col("passes") * F.col("size")).cast("long")).withColumn("positions", F.array_compact(F.array(*[position(c) for c in range(most)])))
-    return out.select("mix_row", "doc_id", "size", "source_size", "target", "passes", "taken", "positions")
+    return out.select("row", "size", "source_size", "target", "passes", "taken", "positions")
 
 
 def mixture(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -95,12 +100,14 @@ def mixture(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: in
     (words) and positions (training time of each copy), sorted by the first position over all partitions, untaken
     last. These columns replace any of the same name."""
     made = ["size", "source_size", "target", "passes", "taken", "positions"]
-    out = placed(docs, schedules, share, most).select(*[F.col(f"mix_row.`{c}`") for c in docs.columns if c not in made], *made)
-    order = [F.asc_nulls_last(F.get("positions", F.lit(0))), F.asc("doc_id")]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = numbered(docs)
+    out = rows.join(placed(rows, schedules, share, most), "row")
+    order = [F.asc_nulls_last(F.get("positions", F.lit(0))), F.asc("of.doc_id"), F.asc("row")]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"of.`{c}`") for c in docs.columns if c not in made], *made)
 
 
 def mixed(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents as the training takes them: the columns of docs, a row for each copy, sorted by training time."""
-    copies = placed(docs, schedules, share, most).select("mix_row", "doc_id", F.explode("positions").alias("mix_at"))
-    return copies.repartitionByRange("mix_at", "doc_id").sortWithinPartitions("mix_at", "doc_id").select("mix_row.*")
+    rows = numbered(docs)
+    copies = placed(rows, schedules, share, most).select("row", F.explode("positions").alias("mix_at")).join(rows, "row")
+    return copies.repartitionByRange("mix_at", "row").sortWithinPartitions("mix_at", "row").select("of.*")
