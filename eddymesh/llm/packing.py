@@ -7,8 +7,8 @@ they are covered yet, finds the best configuration at these prices by bounded-kn
 until its tightest length is covered; so each round covers a length at least, and rounds go on until all lengths are
 covered. Uses become whole sequences, never more than the histogram has; what is left is packed best-fit, longest
 first. That is done for the uses of all rounds, of seven eighths of them, and so on; with all configurations and with
-those that waste little; and at prices that favour long lengths more, if the plan isn't within a thousandth of the
-bound that the program's dual gives: the fewest sequences are kept. The plan has, for each length and configuration, a
+those that waste little; and at other first prices, if the plan isn't within a thousandth of the bound that the program's
+dual gives: the fewest sequences are kept. The plan has, for each length and configuration, a
 range of ranks; pieces get a rank within their length from counts per task, and so their sequence and offset, without a
 shuffle of texts or ids.
 
@@ -33,15 +33,14 @@ from eddymesh.llm.common import batch, column, stored, tidied
 from eddymesh.llm.tokens import CHUNK_BYTES, KEPT_UNITS, encoder
 
 CAPACITY = 2048
-#: Lengths that a round prices (the least covered ones).
-ACTIVE = 400
+#: Lengths that a round prices at most, but for the longest open one.
+ACTIVE = 200
 #: After how many parts of the rounds the plan is rounded; the one of fewest sequences is kept.
 CUTS = 8
 #: Which share of a sequence a configuration may leave empty to be used as it is; tried in turn.
 WASTES = (1.0, 1 / 512, 1 / 64)
-#: How much more a token of a long length is worth than one of a short length; tried in turn, until the plan has at
-#: most this share of sequences more than the bound.
-BIASES, CLOSE = (0.05, 1.0, 4.0), 0.001
+#: Other prices are tried until the plan has at most this share of sequences more than the bound.
+CLOSE = 0.001
 RATE = 4.0
 
 
@@ -110,33 +109,41 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return done
 
 
-def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> float:
-    """The demand's worth at prices under which no configuration is worth more than 1, so no packing has fewer
-    sequences: lengths priced by how many of them fit (rounded down to k-ths), or as a share of the capacity where the
-    shortest are free and those that leave too little for the others cost 1."""
-    best = 0.0
+def dual_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """Prices under which no configuration is worth more than 1, so that no packing has fewer sequences than the
+    demand is worth: lengths priced by how many of them fit (rounded down to k-ths), or as a share of the capacity where
+    the shortest are free and those that leave too little for the others cost 1. The best of these."""
+    found = [lengths / capacity]
     for k in range(1, 64):
         steps = (k + 1) * lengths
-        best = max(best, float((demand * np.where(steps % capacity == 0, lengths / capacity, steps // capacity / k)).sum()))
-    for least in np.unique(np.append(lengths[lengths <= capacity // 2], 0)).tolist():
-        prices = np.where(lengths > capacity - least, 1.0, np.where(lengths >= least, lengths / capacity, 0.0))
-        best = max(best, float((demand * prices).sum()))
-    return best
+        found.append(np.where(steps % capacity == 0, lengths / capacity, steps // capacity / k))
+    for least in np.unique(lengths[lengths <= capacity // 2]).tolist():
+        found.append(np.where(lengths > capacity - least, 1.0, np.where(lengths >= least, lengths / capacity, 0.0)))
+    return max(found, key=lambda p: float((p * demand).sum()))
 
 
-def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rate: float = RATE, bias: float = BIASES[0]) -> tuple[np.ndarray, list[tuple[bytes, float]], float]:
+def starts(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """What lengths are worth at first. A perfect fill is worth its tokens; long lengths a little more, as they fit fewer
+    places. Or the dual's prices, and what they leave open is decided by the tokens."""
+    prices = dual_prices(lengths, demand, capacity)
+    return [lengths * (1 + 0.05 * lengths / capacity), *(prices * capacity * (1 + lean * lengths / capacity) + 0.05 * lengths for lean in (0.05, 1.0))]
+
+
+def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rate: float = RATE, start: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[bytes, float]], float]:
     """How often each length's demand is covered, each round's configuration (its counts as bytes) and use, and a bound
     that no packing goes below."""
     covered, found = np.zeros(len(lengths)), []
     bound = 0.0
-    # A perfect fill is worth its tokens; long lengths are worth more, as they fit fewer places.
-    worth = lengths * (1 + bias * lengths / capacity)
-    for _ in range(len(lengths)):
+    worth = starts(lengths, demand, capacity)[0] if start is None else start
+    for turn in range(len(lengths)):
         # Multiplicative weights: a length's price falls by a factor for each share of its demand that is covered.
         open_ = np.flatnonzero(covered < 1)
         if not len(open_):
             break
-        active = open_[np.argsort(covered[open_], kind="stable")[:ACTIVE]]
+        # Every n-th open length, others in each round, and always the longest.
+        step = -(-len(open_) // ACTIVE)
+        active = open_[(len(open_) - 1 - turn % step) % step :: step]
+        active = active if active[-1] == open_[-1] else np.append(active, open_[-1])
         prices = worth[active] * np.exp(-rate * covered[active])
         own = np.zeros(len(lengths), np.int64)
         own[active] = knapsack(lengths[active], prices, demand[active], capacity)
@@ -175,15 +182,15 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = R
         return [], 0
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    bound, plan = dual_bound(lengths, demand, capacity), None
-    for bias in BIASES:
-        covered, found, of_round = covering(lengths, demand, capacity, rate, bias)
+    bound, plan = float((dual_prices(lengths, demand, capacity) * demand).sum()), None
+    for start in starts(lengths, demand, capacity):
+        covered, found, of_round = covering(lengths, demand, capacity, rate, start)
         assert (covered >= 1).all(), "a length isn't covered"
         bound = max(bound, of_round)
         least = int(np.ceil(bound - 1e-6))
         # The last rounds have few lengths to choose from; best fit may do better there, or with all that fits loosely,
-        # so several cuts are tried. The last has no configuration at all.
-        cuts = sorted({-(-len(found) * k // CUTS) for k in range(CUTS + 1)}, reverse=True)
+        # so several cuts are tried.
+        cuts = sorted({-(-len(found) * k // CUTS) for k in range(1, CUTS + 1)}, reverse=True)
         for waste, cut in itertools.product(WASTES, cuts):
             made = rounded(lengths, demand, found[:cut], capacity, int(waste * capacity))
             if plan is None or sum(n for n, _ in made) < sum(n for n, _ in plan):
