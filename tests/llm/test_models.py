@@ -244,6 +244,102 @@ def test_quality(spark, sf):
     assert quality.quality_scores(both.limit(0), none).count() == 0
 
 
+def test_quality_scores_by_plain_cosines_and_votes(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(900_001, None), (900_002, ""), (None, "ab")], "doc_id long, text string"), allowMissingColumns=True)
+    model = quality.fitted(docs, labels)
+    rows = docs.collect()
+
+    def terms(text):
+        data = (text or "").encode()
+        if len(data) < 3:
+            return None
+        out = Counter()
+        for a, b, c in zip(data, data[1:], data[2:]):
+            out[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20] += 1
+        own = text.split()
+        if own:
+            again = sum(own[k] in own[:k] for k in range(len(own))) if len(own) < 2000 else len(own) - len(set(own))
+            near = sum(own[k] == own[k - 1] for k in range(1, len(own))) + sum(own[k] == own[k - 2] for k in range(2, len(own)))
+            for k, share in enumerate((again / len(own), near / len(own))):
+                out[quality.TERMS + k * quality.REPEATS + min(quality.REPEATS - 1, int(share * quality.REPEATS))] = math.sqrt(len(data) - 2)
+        return out
+
+    counted = [terms(r.text) for r in rows]
+    seen = Counter(t for c in counted if c for t in c)
+    idf = np.array([math.log((len(rows) + 1) / (seen[t] + 1)) + 1 for t in range(quality.WIDTH)])
+    assert np.allclose(model.idf, idf, atol=1e-5)
+
+    def vector(found):
+        dense = np.zeros(quality.WIDTH)
+        for t, n in found.items():
+            dense[t] = math.log1p(n) * idf[t]
+        own = dense / np.linalg.norm(dense) @ model.basis.astype(float)
+        return own / np.linalg.norm(own)
+
+    marks = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    vectors = sorted((marks[r.doc_id], tuple(vector(c))) for r, c in zip(rows, counted) if r.doc_id in marks and c)
+    of_model = sorted((int(y), tuple(v)) for y, v in zip(model.labels, model.vectors.astype(float)))
+    assert len(vectors) == len(of_model)
+    for y in (0, 1):
+        a, b = (np.array([v for kind, v in side if kind == y]) for side in (vectors, of_model))
+        assert np.abs((a @ b.T).max(axis=1) - 1).max() < 1e-4  # each labelled text is there
+    want = Counter()
+    for r, c in zip(rows, counted):
+        if c is None:
+            score = sum(marks.values()) / len(marks)
+        else:
+            cosine = model.vectors.astype(float) @ vector(c)
+            near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+            vote = {k: math.exp(quality.SHARPNESS * (cosine[k] - 1)) * model.stands[k] for k in near}
+            score = sum(v for k, v in vote.items() if model.labels[k] == 1) / sum(vote.values())
+        want[r.doc_id, round(score, 2)] += 1
+    got = quality.quality_scores(docs, model).select("of.doc_id", "quality_score").collect()
+    by_id = lambda found: sorted((k[0] if k[0] is not None else -1, k[1]) for k in found.elements())
+    scores = sorted((r.doc_id if r.doc_id is not None else -1, r.quality_score) for r in got)
+    assert [d for d, _ in scores] == [d for d, _ in by_id(want)]
+    assert np.allclose([s for _, s in scores], [s for _, s in by_id(want)], atol=0.011)
+
+
+def test_class_model_by_its_table_of_classes(spark, texts, monkeypatch):
+    made = [*list(texts.values())[:120], None, "", "Word word unseen"]
+    docs, tables, real = frame(spark, made), {}, brown.stored
+    monkeypatch.setattr(brown, "stored", lambda df, what, *rest: tables.setdefault(what, real(df, what, *rest)))
+    got = {r.doc_id: r for r in brown.brown_scores(docs, head=400, classed=100, clustered=40, n_classes=8).collect()}
+    learnt = {bytes(r.word): (r.n, r["class"]) for r in tables["classes"].collect()}
+    training = [words(t) for k, t in enumerate(made) if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = Counter(w for own in training for w in own)
+    assert {w: n for w, (n, _) in learnt.items()} == counts  # every training word has a class
+    tokens, types, end = sum(counts.values()) + len(training), len(counts) + 1, 8
+    in_class, once, types_in = Counter(), Counter(), Counter()
+    for n, c in learnt.values():
+        in_class[c] += n
+        types_in[c] += 1
+        once[c] += n == 1
+    unknown = max(range(9), key=lambda c: (once[c], -c))
+    of = lambda w: learnt[w][1] if w in learnt else unknown
+    moves = Counter()
+    for own in training:
+        seq = [end, *map(of, own), end]
+        moves.update(zip(seq, seq[1:]))
+    into = [sum(moves[a, c] for a in range(9)) for c in range(9)]
+    unigram = [(n + 1) / (sum(into) + 9) for n in into]
+    step = [[(moves[a, c] + brown.SMOOTH * unigram[c]) / (sum(moves[a, x] for x in range(9)) + brown.SMOOTH) for c in range(9)] for a in range(9)]
+    assert all(abs(sum(row) - 1) < 1e-9 for row in step)
+    whole = in_class[unknown] + types_in[unknown] + 1
+    emit = lambda w: (learnt.get(w, (0, 0))[0] + 1) / whole if of(w) == unknown else learnt[w][0] / in_class[of(w)]
+    for c in range(8):  # the words of a class, and the unknown word in its class, share 1
+        if in_class[c]:
+            assert abs(sum(emit(w) for w in learnt if of(w) == c) + (1 / whole if c == unknown else 0) - 1) < 1e-9
+    for k, text in enumerate(made):
+        own = words(text)
+        seq = [end, *map(of, own), end]
+        score = sum(math.log10(step[a][b]) for a, b in zip(seq, seq[1:])) + sum(math.log10(emit(w)) for w in own)
+        base = sum(math.log10((counts[w] + 1) / (tokens + types + 1)) for w in own) + math.log10((len(training) + 1) / (tokens + types + 1))
+        assert math.isclose(got[k].score, score, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(got[k].base_score, base, rel_tol=1e-9, abs_tol=1e-6)
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(own) + 1, sum(w in counts for w in own) + 1, tokens)
+
+
 def test_row_numbers_stay(spark):
     docs = spark.createDataFrame([(k, f"text {k}", "r") for k in range(400)], "doc_id long, text string, row string").repartition(7).orderBy(F.rand())
     rows = common.numbered(docs)
