@@ -12,8 +12,8 @@ the frequency table; document ids (i64) with a validity byte each; ids per docum
 u32 words read before it, u64 state per lane), the first at step 0; words (u32); u32 crc32 of the ids; u32 crc32 of
 everything before.
 
-Null and empty texts hold just the end id. Rows with the same doc_id stay rows of their own, in the order of their
-texts; null doc_ids come first. An empty table gives no blocks. Other columns are not read.
+Null and empty texts hold just the end id. Rows with the same doc_id stay rows of their own, in the order of a hash of
+their texts, by which they are also dealt out, so that one doc_id is no one task's work; null doc_ids come first. An empty table gives no blocks. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import batch, column, stored, tidied
+from eddymesh.llm.common import batch, column, scratch, stored, tidied
 from eddymesh.llm.tokens import encoder
 
 SCALE_BITS = 20
@@ -158,13 +158,14 @@ class Block:
         return found
 
 
-RAW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
-RAW_DDL = "part int, block int, local_start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
+RAW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
+RAW_DDL = "part int, block int, local_start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 
 
-def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of ids not yet coded, as the sorted partition has the documents."""
+def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, vocabulary: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of ids not yet coded, as the sorted partition has the documents; then a row with how often each id came."""
     encode, part, block, start, size = encoder(path).encode, TaskContext.get().partitionId(), 0, 0, 0
+    seen = np.zeros(vocabulary, np.int64)
     kind = "<u4" if wide else "<u2"
     held: list[bytes] = []
     docs: list[int | None] = []
@@ -172,7 +173,7 @@ def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide:
 
     def flushed() -> pa.RecordBatch:
         nonlocal block, start, size
-        made = batch(RAW, part=[part], block=[block], local_start=[start], n_tokens=[size], doc_ids=[list(docs)], lengths=[list(lengths)], ids=[b"".join(held)])
+        made = batch(RAW, part=[part], block=[block], local_start=[start], n_tokens=[size], doc_ids=[list(docs)], lengths=[list(lengths)], ids=[b"".join(held)], counts=pa.nulls(1))
         block, start, size = block + 1, start + size, 0
         for x in (held, docs, lengths):
             x.clear()
@@ -182,6 +183,8 @@ def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide:
     for b in batches:
         names, at = column(b, "doc_id").to_pylist(), 0
         for ids, counts in encode(column(b, "text")):
+            seen += np.bincount(ids, minlength=vocabulary)
+            seen[end_id] += len(counts)
             data, past = ids.astype(kind).tobytes(), np.cumsum(counts) * int(kind[-1])
             for k, stop in enumerate(past.tolist()):
                 held.append(data[past[k - 1] if k else 0 : stop] + end)
@@ -193,18 +196,20 @@ def raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wide:
             at += len(counts)
     if docs:
         yield flushed()
+    if seen.any():
+        none = pa.nulls(1)
+        yield batch(RAW, part=[part], block=none, local_start=none, n_tokens=none, doc_ids=none, lengths=none, ids=none, counts=[seen.astype("<i8").tobytes()])
 
 
 COUNTS = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
 
-def id_counts(batches: Iterator[pa.RecordBatch], vocabulary: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(vocabulary, np.int64)
+def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for ids in column(b, "ids"):
-            counts += np.bincount(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"), minlength=vocabulary)
-    seen = np.flatnonzero(counts)
-    yield batch(COUNTS, id=seen, n=counts[seen])
+        for counts in column(b, "counts"):
+            held = np.frombuffer(counts.as_buffer(), "<i8")
+            seen = np.flatnonzero(held)
+            yield batch(COUNTS, id=seen, n=held[seen])
 
 
 CODED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("local_start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
@@ -230,15 +235,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame
 
     vocabulary = max(load(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     wide = vocabulary > 1 << 16
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = stored(ordered.mapInArrow(lambda bs: tidied(raw_blocks(bs, path, end_id, wide), True), RAW_DDL), "token-ids", "none")
-    found = raw.select("ids").mapInArrow(lambda bs: tidied(id_counts(bs, vocabulary, wide)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(vocabulary, np.int64)
-    for row in found:
-        counts[row["id"]] = row["n"]
-    freq = scaled(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(freq)
-    return stored(raw.mapInArrow(lambda bs: tidied(coded(bs, shared.value, wide)), CODED_DDL), "token-blocks", "none"), freq
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    with scratch() as kept:
+        raw = stored(ordered.mapInArrow(lambda bs: tidied(raw_blocks(bs, path, end_id, vocabulary, wide), True), RAW_DDL), "token-ids", "none")
+        found = raw.select("counts").where("counts is not null").mapInArrow(lambda bs: tidied(id_counts(bs)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(vocabulary, np.int64)
+        for row in found:
+            counts[row["id"]] = row["n"]
+        freq = scaled(counts)
+        shared = docs.sparkSession.sparkContext.broadcast(freq)
+        kept.append(blocks := stored(raw.where("ids is not null").drop("counts").mapInArrow(lambda bs: tidied(coded(bs, shared.value, wide)), CODED_DDL), "token-blocks", "none"))
+    return blocks, freq
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
