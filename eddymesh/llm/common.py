@@ -7,6 +7,8 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +30,55 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/eddymesh-shared").rstrip("/")
 
 
+#: The tables written inside the innermost `scratch`.
+_TABLES: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_TABLES", default=None)
+
+
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if (tables := _TABLES.get()) is not None:
+        tables.append((spark, path))
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def removed(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes written tables."""
+    for spark, path in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables stored inside go at the end, but for those put into the list that it gives: what comes out reads them.
+    Only tables whose readers are all written may be left out of it."""
+    kept: list[DataFrame] = []
+    tables: list[tuple[SparkSession, str]] = []
+    token = _TABLES.set(tables)
+    try:
+        yield kept
+    finally:
+        _TABLES.reset(token)
+        stay = {df.stored_at for df in kept}
+        if (outer := _TABLES.get()) is not None:
+            outer += [t for t in tables if t[1] in stay]
+        removed([t for t in tables if t[1] not in stay])
+
+
+@contextmanager
+def gathered() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The tables stored inside that a `scratch` there doesn't remove; for `removed`, once what reads them is written."""
+    tables: list[tuple[SparkSession, str]] = []
+    token = _TABLES.set(tables)
+    try:
+        yield tables
+    finally:
+        _TABLES.reset(token)
 
 
 def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.llm.common import stored
+from eddymesh.llm.common import scratch, stored
 
 #: Steps towards the root between two written tables.
 JUMPS = 3
@@ -20,21 +20,23 @@ def components(edges: DataFrame) -> DataFrame:
     by plain equi-joins, which adaptive execution can split. Null ends and loops are no edges.
     """
     pair = [F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")]
-    left = stored(edges.where("a <> b").select(*pair).distinct(), "edges")
-    labels = left.select(F.col("hi").alias("node")).union(left.select("lo")).distinct().withColumn("root", F.col("node"))
-    while not left.isEmpty():
-        parent = stored(left.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
-        while True:
-            above = parent.select(F.col("hi").alias("up"), F.col("up").alias("top"))
-            jumped = parent.withColumn("moved", F.lit(False))
-            for _ in range(JUMPS):
-                jumped = jumped.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"), (F.col("moved") | F.col("top").isNotNull()).alias("moved"))
-            jumped = stored(jumped, "parents")
-            parent = jumped.select("hi", "up")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = stored(labels.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
-        ends = left.join(parent, "hi", "left").select(F.coalesce("up", "hi").alias("a"), F.col("lo"))
-        ends = ends.join(parent.withColumnRenamed("hi", "lo"), "lo", "left").select("a", F.coalesce("up", "lo").alias("b"))
-        left = stored(ends.where("a <> b").select(*pair).distinct(), "edges")
+    with scratch() as kept:
+        left = stored(edges.where("a <> b").select(*pair).distinct(), "edges")
+        labels = left.select(F.col("hi").alias("node")).union(left.select("lo")).distinct().withColumn("root", F.col("node"))
+        while not left.isEmpty():
+            parent = stored(left.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
+            while True:
+                above = parent.select(F.col("hi").alias("up"), F.col("up").alias("top"))
+                jumped = parent.withColumn("moved", F.lit(False))
+                for _ in range(JUMPS):
+                    jumped = jumped.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"), (F.col("moved") | F.col("top").isNotNull()).alias("moved"))
+                jumped = stored(jumped, "parents")
+                parent = jumped.select("hi", "up")
+                if jumped.where("moved").isEmpty():
+                    break
+            labels = stored(labels.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+            ends = left.join(parent, "hi", "left").select(F.coalesce("up", "hi").alias("a"), F.col("lo"))
+            ends = ends.join(parent.withColumnRenamed("hi", "lo"), "lo", "left").select("a", F.coalesce("up", "lo").alias("b"))
+            left = stored(ends.where("a <> b").select(*pair).distinct(), "edges")
+        kept.append(labels := labels if hasattr(labels, "stored_at") else stored(labels, "labels"))
     return labels
