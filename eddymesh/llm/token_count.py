@@ -77,6 +77,7 @@ class PreTokens:
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """For each unit of a run of rows a code, where each row's units begin, and the pre-tokens of each code."""
         codes, first, names, whole = units(texts, self.special)
+        names = names.to_pylist()
         first_names = codes[first].tolist()
         rest = np.ones(len(codes), bool)
         rest[first] = False

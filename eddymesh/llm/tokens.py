@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 WHITE = pa.array([chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 #: Marks that make one pre-token with each other after a word.
 MARKS = "!#$%&*+,-./:;=?@)]}"
+#: A string of characters below U+0180.
+LATIN = "^[\\x00-\\x{17F}]*$"
 #: Units that a worker keeps; past this the table starts anew.
 KEPT_UNITS = 500_000
 #: Bytes of text that are split at a time; a longer text is split alone.
@@ -40,7 +42,7 @@ def special_strings(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def units(texts: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+def units(texts: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Texts cut at their spaces: a code for each unit, where each text's units begin, the distinct units by code, and
     which texts must be taken whole instead (those with two spaces in a row count as one empty unit)."""
     odd = pc.match_substring(texts, "  ")
@@ -59,7 +61,7 @@ def units(texts: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray,
     whole = odd.to_numpy(zero_copy_only=False)
     if len(first):
         whole = whole | np.logical_or.reduceat(wrong, first)
-    return codes, first, names.to_pylist(), whole
+    return codes, first, names, whole
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[pa.Array]:
@@ -171,25 +173,54 @@ class Encoder:
             later &= ~np.repeat(whole, np.diff([*first, len(codes)]))
         used = np.zeros(len(names), bool)
         used[codes[later]] = True
-        get, parts = self.known.get, []
-        for unit, is_used in zip(names, used.tolist()):
-            parts.append((get(unit) or self.later(unit)) if is_used else b"")
-        firsts, rank = {}, []
+        head, tail, parts = self.parts(names, np.flatnonzero(used))
+        # Further codes: one that stands for nothing, and the first units.
+        more, firsts, rank = [0], {}, []
         whole_texts = iter(texts.filter(pa.array(whole)).to_pylist())
-        for is_whole, c in zip(whole.tolist(), codes[first].tolist()):
-            if is_whole:
-                rank.append(len(parts))
-                parts.append(self.direct(next(whole_texts)))
-            else:
-                if c not in firsts:
-                    firsts[c] = len(parts)
-                    parts.append(self.direct(names[c]) if names[c] else b"")
-                rank.append(firsts[c])
-        codes[~later] = len(parts)
-        parts.append(b"")
+        first_names = names.take(pa.array(codes[first])).to_pylist()
+        for is_whole, name in zip(whole.tolist(), first_names):
+            if is_whole or name not in firsts:
+                at = len(names) + len(more)
+                more.append(len(parts))
+                parts.append(self.direct(next(whole_texts) if is_whole else name))
+                if not is_whole:
+                    firsts[name] = at
+            rank.append(at if is_whole else firsts[name])
+        codes[~later] = len(names)
         codes[first] = rank
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        values = np.frombuffer(b"".join(parts), "<u4")
+        values, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        # Two parts make a unit, units make the texts.
+        pieces = np.stack([np.append(head, more), np.append(tail, np.zeros(len(more), np.int64))], axis=1).ravel()
+        values, sizes = joined(values, starts[pieces], sizes[pieces]), sizes[pieces].reshape(-1, 2).sum(axis=1)
         lengths = sizes[codes]
         counts = np.add.reduceat(lengths, first) if len(first) else lengths
         return joined(values, (np.cumsum(sizes) - sizes)[codes], lengths), counts
+
+    def parts(self, names: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of the used units after a space, in two parts each: for each unit two places in a list of ids, of which
+        the first is empty. Words of Latin letters and the marks after them are found without a step for each unit."""
+        head, tail, parts = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), [b""]
+        own = names.take(pa.array(used))
+        words = pc.utf8_rtrim(own, characters=MARKS)
+        n_word, n_unit = (pc.binary_length(x).to_numpy() for x in (words, own))
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        wide = np.flatnonzero(plain & (n_word != pc.utf8_length(words).to_numpy()))
+        plain[wide] = pc.match_substring_regex(words.take(pa.array(wide)), LATIN).to_numpy(zero_copy_only=False)
+        coded = words.filter(pa.array(plain)).dictionary_encode()
+        head[used[plain]] = coded.indices.to_numpy() + 1
+        get, known = self.known.get, self.known
+        for word in coded.dictionary.to_pylist():
+            if (got := get(word)) is None:
+                got = known[word] = self.word(word, True)
+            parts.append(got)
+        marked, found = plain & (n_unit > n_word), {}
+        at = [found.setdefault(u[-n:], len(found)) for u, n in zip(own.filter(pa.array(marked)).to_pylist(), (n_unit - n_word)[marked].tolist())]
+        tail[used[marked]] = np.array(at, np.int64) + len(parts)
+        for marks in found:
+            if (got := self.marks.get(marks)) is None:
+                got = self.marks[marks] = self.direct(marks)
+            parts.append(got)
+        head[used[~plain]] = np.arange(len(parts), len(parts) + int((~plain).sum()))
+        parts += [get(unit) or self.later(unit) for unit in own.filter(pa.array(~plain)).to_pylist()]
+        return head, tail, parts
