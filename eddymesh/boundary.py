@@ -17,6 +17,7 @@ STEPS = {
     "lag8": ["lag6", "lag4", "linear"], "lag6": ["lag4", "linear"], "lag4": ["linear"], "m2q8": ["m1q4", "linear"], "m1q4": ["linear"],
     "m2q8_g": ["m1q4_g", "linear_g"], "m1q4_g": ["linear_g"], "m2q8_h": ["fd6noint_h", "fd4noint_h", "linear_h"],
     "fd8noint_g": ["fd6noint_g", "fd4noint_g", "linear_g"], "fd8noint_l": ["fd6noint_l", "fd4noint_l", "linear_l"], "fd8noint_h": ["fd6noint_h", "fd4noint_h", "linear_h"],
+    **{f"fd6noint_{o}": [f"fd4noint_{o}", f"linear_{o}"] for o in "ghl"}, **{f"fd4noint_{o}": [f"linear_{o}"] for o in "ghl"},
     "fd4lag4_g": ["m1q4_g", "linear_g"], "fd4lag4_l": ["fd6noint_l", "fd4noint_l", "linear_l"],
 }
 # Lowest z of a method for velocity and energy, and how far below n its end is for velocity.

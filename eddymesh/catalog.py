@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 PI = math.pi
 # Title, nodes along x, y, z, spacing (None: irregular), periodic axes, non-periodic domain, times of
 # point queries, snapshots of cutouts, time step and index shift, variables, native, pchip allowed, name digits.
@@ -100,8 +103,10 @@ def check(title: str, variable: str, time: float, method: str, operator: str, te
         raise ValueError(f"{operator} isn't offered for {variable}")
     if method not in methods(title, variable, operator):
         raise ValueError(f"{method} isn't offered for the {operator} of {variable} in {title}")
-    if temporal not in (["none", "pchip"] if d[11] else ["none"]):
+    if temporal not in (["none", "pchip"] if d[11] and variable != "position" else ["pchip"] if d[11] else ["none"]):
         raise ValueError(f"{temporal} isn't offered for {title}")
+    if variable == "position" and (end is None or step is None):
+        raise ValueError("position takes an end time and a step")
     if (end is None) != (step is None):
         raise ValueError("an end time and a step are given together")
     if end is not None and (step <= 0 or time + step > end + 1e-9 * abs(end)):
@@ -110,6 +115,30 @@ def check(title: str, variable: str, time: float, method: str, operator: str, te
         raise ValueError("snapshots have whole steps")
 
 
+def domain(title: str) -> list[tuple[float, float] | None]:
+    """Lowest and highest coordinate along x, y, z; None where any is taken by its period."""
+    return [dataset(title)[4].get(a) for a in "xyz"]
+
+
+def check_points(title: str, points: DataFrame) -> None:
+    """Raises ValueError if there are too many points or one lies outside the dataset's own domain. One pass."""
+    limits = [(a, limit) for a, limit in zip("xyz", domain(title)) if limit]
+    found = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{k}_{a}") for a, _ in limits for k, f in (("low", F.min), ("high", F.max))]).first()
+    if found["n"] > MAX_POINTS:
+        raise ValueError(f"{found['n']} points are more than {MAX_POINTS}")
+    for a, (low, high) in limits:
+        if found["n"] and (found[f"low_{a}"] < low or found[f"high_{a}"] > high):
+            raise ValueError(f"{a} of a point isn't between {low} and {high} in {title}")
+
+
+def offsets(title: str, variable: str) -> tuple[float, float, float]:
+    """Coordinates of the first node."""
+    x = 30.2185 if title == "transition_bl" else 0.0
+    if not title.startswith("sabl"):
+        return x, 0.0, 0.0
+    return x, 0.0, 0.1953125 if variable in ("energy", "velocity_w") else 0.1953125 / 2
+
+
 def check_box(title: str, ranges: list[tuple[int, int]], strides: list[int], components: int = 1) -> None:
     """1-based inclusive ranges along x, y, z."""
     d = dataset(title)

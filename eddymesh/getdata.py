@@ -2,8 +2,9 @@
 
 Narrow kernels (nearest-node differences, four nodes an axis) are a stencil join: points, exploded taps, an equi-join
 with the voxels and a sum, all compiled code. Wide kernels (six nodes an axis and more) would make hundreds of rows for
-each point there; they go to haloed chunks instead, joined to the points of the chunk and contracted axis by axis in
-numpy. Points of a chunk are split into runs, so that a crowded chunk is no one task's work.
+each point there; they go to chunks instead: those with points and the ones around them, as stored, meet the points of
+the chunk and are contracted axis by axis in numpy. Points of a chunk are split into runs, so that a crowded chunk is no one task's
+work.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddymesh.lattice import CHUNK, N, haloed
+from eddymesh.lattice import CHUNK, N, around, into_chunks
 from eddymesh.weights import TERMS, axis, nearest, taps
 
 #: From so many nodes an axis on, points go to chunks. Points of a chunk in one run; points contracted at once.
@@ -57,8 +58,11 @@ def summed(exploded: DataFrame, nodes: DataFrame, outputs: int, components: int,
     return keys.join(nodes, ["ix", "iy", "iz"]).groupBy("pid").agg(*sums)
 
 
-def evaluate(points: DataFrame, nodes: DataFrame, method: str, operator: str = "field", components: int = 1, spacing=(1.0, 1.0, 1.0), offset=(0.0, 0.0, 0.0), n: int = N, chunk: int = CHUNK, quantize: bool = True) -> DataFrame:
-    """pid and a column c<component>_<output> for each output, for points(pid, x, y, z) and nodes(ix, iy, iz, c0, ...)."""
+def evaluate(points: DataFrame, nodes: DataFrame, method: str, operator: str = "field", components: int = 1, spacing=(1.0, 1.0, 1.0), offset=(0.0, 0.0, 0.0), n: int = N, chunk: int = CHUNK, quantize: bool = True, chunks: DataFrame | None = None) -> DataFrame:
+    """pid and a column c<component>_<output> for each output, for points(pid, x, y, z) and nodes(ix, iy, iz, c0, ...).
+
+    chunks: the same nodes by chunk (cx, cy, cz, v0, ...), if they are stored so; wide kernels then read no voxel rows.
+    """
     near, terms = nearest(method), TERMS[operator]
     placed = points.select("pid", *[index(F.col(a), d, o, n, near).alias(f"i{a}") for a, d, o in zip("xyz", spacing, offset)], *[fraction(F.col(a), d, o, quantize).alias(f"f{a}") for a, d, o in zip("xyz", spacing, offset)])
     if near:
@@ -73,7 +77,7 @@ def evaluate(points: DataFrame, nodes: DataFrame, method: str, operator: str = "
     used = sorted({c for t in terms for term in t for c in term})
     width = sorted({x for c in used for x in kernels[c]})
     if len(width) >= WIDE:
-        return contracted(placed, nodes, kernels, terms, width, components, spacing, n, chunk)
+        return contracted(placed, into_chunks(nodes, components, chunk) if chunks is None else chunks, kernels, terms, width, components, spacing, n, chunk)
     out = placed
     for a in "xyz":
         weights = F.array(*[F.struct(F.lit(x).alias("k"), *[polynomial(kernels[c].get(x, [0]), F.col(f"f{a}")).alias(c) for c in used]) for x in width])
@@ -85,13 +89,20 @@ def evaluate(points: DataFrame, nodes: DataFrame, method: str, operator: str = "
     return summed(out.select("pid", *[(F.col(f"i{a}") + F.col(f"t{a}.k")).alias(f"i{a}") for a in "xyz"], *sums), nodes, len(terms), components, n)
 
 
-def contracted(placed: DataFrame, nodes: DataFrame, kernels, terms, width, components: int, spacing, n: int, chunk: int) -> DataFrame:
-    """The wide path: haloed chunks against their points."""
+def wide(method: str) -> bool:
+    """Whether the method's kernels go to chunks."""
+    return not nearest(method) and len({x for k in axis(method).values() for x in k}) >= WIDE
+
+
+def contracted(placed: DataFrame, chunks: DataFrame, kernels, terms, width, components: int, spacing, n: int, chunk: int) -> DataFrame:
+    """The wide path: chunks that have points, with the chunks around them, against their points."""
     below, above = -width[0], width[-1]
-    span, size = chunk + below + above, len(width)
+    size, margin = len(width), (below + chunk - 1) // chunk
+    across = (margin + (above + chunk - 1) // chunk + 1) * chunk
     of_chunk = placed.select("*", *[F.expr(f"i{a} div {chunk}").alias(f"c{a}") for a in "xyz"])
     runs = of_chunk.groupBy("cx", "cy", "cz").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
-    chunks = haloed(nodes, below, above, components, chunk, n).join(runs, ["cx", "cy", "cz"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
+    parts = around(runs, chunks, below, above, components, chunk, n).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
+    parts = parts.select(*[F.col(c).alias(c) for c in parts.columns])  # names of its own, as both sides come from the points
     dealt = of_chunk.join(runs, ["cx", "cy", "cz"]).withColumn("run", F.pmod(F.xxhash64("pid"), F.col("runs")).cast("int")).drop("runs")
     outs = names("field" if len(terms) == 1 else {3: "gradient", 6: "hessian"}[len(terms)], components)
     schema = pa.schema([("pid", pa.int64()), *[(c, pa.float64()) for c in outs]])
@@ -101,7 +112,14 @@ def contracted(placed: DataFrame, nodes: DataFrame, kernels, terms, width, compo
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return schema.empty_table()
-        values = right["vals"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(span, span, span, components)
+        whole = np.full((across, across, across, components), np.nan)
+        at = [(right[f"r{a}"].to_numpy() + margin) * chunk for a in "zyx"]
+        for k in range(components):
+            own = right[f"v{k}"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, chunk, chunk, chunk)
+            for block, z, y, x in zip(own, *at):
+                whole[z : z + chunk, y : y + chunk, x : x + chunk, k] = block
+        inner = slice(margin * chunk - below, (margin + 1) * chunk + above)
+        values = whole[inner, inner, inner]
         blocks = []
         for at in range(0, left.num_rows, BLOCK):
             part = left.slice(at, BLOCK)
@@ -127,4 +145,4 @@ def contracted(placed: DataFrame, nodes: DataFrame, kernels, terms, width, compo
 
     keys = ["cx", "cy", "cz", "run"]
     ddl = "pid long, " + ", ".join(f"{c} double" for c in outs)
-    return dealt.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInArrow(run, ddl)
+    return dealt.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(run, ddl)

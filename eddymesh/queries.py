@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymesh import boundary, catalog, cutout, temporal
-from eddymesh.getdata import evaluate, names
-from eddymesh.lattice import N, nodes, pack, points, read, unpack, voxels
+from eddymesh import boundary, catalog, cutout, requests, temporal
+from eddymesh.getdata import evaluate, names, wide
+from eddymesh.lattice import N, chunked, nodes, pack, points, read, snapshots, unpack, voxels
 from eddymesh.weights import CORNERS, TERMS, axis, difference, field, nearest, spline, taps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,9 +74,11 @@ def sql_interp(method: str, operator: str, columns: list[str], components: int =
 
 def interpolation(name: str, method: str, operator: str, variable: str, sql: bool = True) -> None:
     components, columns = (1, catalog.columns("pressure", operator)) if variable == "p" else (3, catalog.columns("velocity", operator))
+    stored = ["p"] if variable == "p" else ["ux", "uy", "uz"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = evaluate(points(spark, sf_dir), nodes(spark, sf_dir, ["p"] if variable == "p" else ["ux", "uy", "uz"]), method, operator, components)
+        chunks = chunked(spark, sf_dir, stored) if wide(method) else None
+        found = evaluate(points(spark, sf_dir), nodes(spark, sf_dir, stored), method, operator, components, chunks=chunks)
         return found.select("pid", *[r6(F.col(c)).alias(n) for c, n in zip(names(operator, components), columns)])
 
     QUERIES[name] = run
@@ -242,6 +244,9 @@ GROUPS = (
 )
 
 
+GROUPS_OF = f"with {GROUPS}"
+
+
 @query(f"with {GROUPS} select * from groups")
 def chunk_group_key(spark, sf_dir):
     return chunk_groups(spark, sf_dir)
@@ -253,32 +258,32 @@ def points_per_chunk(spark, sf_dir):
     return found.sortWithinPartitions(F.desc("volume"), "lo_z", "lo_y", "lo_x")
 
 
-@query(sql_interp("lag8", "field", ["p"], source="(select * from pts where floor(x)::bigint % 4 in (2, 3, 0) or floor(y)::bigint % 4 = 3)"))
+@query(sql_interp("lag8", "field", ["p"], source=f"(select pts.* from pts join ({GROUPS_OF} select pid, volume from groups) using (pid) where volume > 1)"))
 def visitor_points(spark, sf_dir):
     """Points whose neighbourhood spans chunks get the same path as any other."""
-    across = points(spark, sf_dir).where("floor(x) % 4 in (2, 3, 0) or floor(y) % 4 = 3")
-    return evaluate(across, nodes(spark, sf_dir, ["p"]), "lag8").select("pid", r6(F.col("c0_0")).alias("p"))
+    across = points(spark, sf_dir).join(chunk_groups(spark, sf_dir).where("volume > 1").select("pid"), "pid")
+    return evaluate(across, None, "lag8", chunks=chunked(spark, sf_dir, ["p"])).select("pid", r6(F.col("c0_0")).alias("p"))
 
 
 # --- Cutouts ---
 
-BOX = [(2, 9), (0, 11), (5, 14)]
+BOX, PLANE = [(2, 9), (0, 11), (5, 14)], [(3, 3), (0, 15), (0, 15)]
 WHERE = " and ".join(f"i{a} between {lo} and {hi}" for a, (lo, hi) in zip("xyz", BOX))
 
 
 @query(f"with {VOX} select var, ix, iy, iz, round(v, 6) + 0.0 as v from vox where t = 0 and {WHERE}")
 def cutout_box(spark, sf_dir):
-    return cutout.box(voxels(spark, sf_dir).where("t = 0"), BOX).select("var", "ix", "iy", "iz", r6(F.col("v")).alias("v"))
+    return cutout.box(voxels(spark, sf_dir, t=0, ranges=BOX), BOX).select("var", "ix", "iy", "iz", r6(F.col("v")).alias("v"))
 
 
 @query(f"with {VOX} select var, ix, iy, iz, round(v, 6) + 0.0 as v from vox where t = 0 and {WHERE} and (ix - 2) % 2 = 0 and iy % 3 = 0 and (iz - 5) % 4 = 0")
 def cutout_stride(spark, sf_dir):
-    return cutout.box(voxels(spark, sf_dir).where("t = 0"), BOX, (2, 3, 4)).select("var", "ix", "iy", "iz", r6(F.col("v")).alias("v"))
+    return cutout.box(voxels(spark, sf_dir, t=0, ranges=BOX), BOX, (2, 3, 4)).select("var", "ix", "iy", "iz", r6(F.col("v")).alias("v"))
 
 
 @query(f"with {VOX} select var, rx, ry, rz, round(v, 6) + 0.0 as v from vox join range(10, 41) a(rx) on ((rx % 16) + 16) % 16 = ix join range(0, 8, 2) b(ry) on ry = iy join range(-4, 18) c(rz) on ((rz % 16) + 16) % 16 = iz where t = 0")
 def cutout_periodic_tile(spark, sf_dir):
-    return cutout.box(voxels(spark, sf_dir).where("t = 0"), [(10, 40), (0, 7), (-4, 17)], (1, 2, 1)).select("var", "rx", "ry", "rz", r6(F.col("v")).alias("v"))
+    return cutout.box(voxels(spark, sf_dir, t=0), [(10, 40), (0, 7), (-4, 17)], (1, 2, 1)).select("var", "rx", "ry", "rz", r6(F.col("v")).alias("v"))
 
 
 def _axis_files(a: str, lo: int, hi: int) -> str:
@@ -305,19 +310,19 @@ def irregular_y_coords(spark, sf_dir):
 
 @query(f"with {VOX}, {CELLS} select pid, round(v, 6) + 0.0 as p from cells join vox using (ix, iy, iz) where var = 'p' and t = 0 and {WHERE}")
 def cutout_values(spark, sf_dir):
-    stored = cutout.box(voxels(spark, sf_dir).where("t = 0 and var = 'p'"), BOX)
+    stored = cutout.box(voxels(spark, sf_dir, ["p"], 0, BOX), BOX)
     return cells(spark, sf_dir).join(stored, ["ix", "iy", "iz"]).select("pid", r6(F.col("v")).alias("p"))
 
 
 @query(f"with {VOX} select iy, iz, round(v, 6) + 0.0 as ux from vox where var = 'ux' and t = 0 and ix = 3")
 def plane_slice(spark, sf_dir):
-    return cutout.box(voxels(spark, sf_dir).where("t = 0 and var = 'ux'"), [(3, 3), (0, 15), (0, 15)]).select("iy", "iz", r6(F.col("v")).alias("ux"))
+    return cutout.box(voxels(spark, sf_dir, ["ux"], 0, PLANE), PLANE).select("iy", "iz", r6(F.col("v")).alias("ux"))
 
 
 @query(f"with {VOX} select bin, count(*) as n from (select least(greatest(floor((v + 0.6) / 0.06)::bigint, 0), 19) as bin from vox where var = 'p') group by bin")
 def value_histogram(spark, sf_dir):
     bins = F.least(F.greatest(F.floor((F.col("v") + 0.6) / 0.06).cast("long"), F.lit(0)), F.lit(19)).cast("long")
-    return voxels(spark, sf_dir).where("var = 'p'").groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
+    return voxels(spark, sf_dir, ["p"]).groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {PTS}, p as (select *, 0.5 + z * 15 / 16 as zz from pts) select count(*) as n, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(zz) as min_z, max(zz) as max_z, count(*) <= 2000000 and min(zz) >= 0.5 and max(zz) <= 15.5 as valid, count(*) filter (zz > 15) as near_top from p")
@@ -342,7 +347,7 @@ def cutout_bounds_check(spark, sf_dir):
 
 @query(f"with {VOX} select t, 4096::bigint as expected, count(*) as found, count(*) filter (v is null) as nulls, count(*) = 4096 and count(v) = 4096 as complete from vox where var = 'p' group by t")
 def completeness(spark, sf_dir):
-    found = voxels(spark, sf_dir).where("var = 'p'").groupBy("t").agg(F.lit(N**3).cast("long").alias("expected"), F.count("*").alias("found"), F.count(F.when(F.col("v").isNull(), 1)).alias("nulls"))
+    found = voxels(spark, sf_dir, ["p"]).groupBy("t").agg(F.lit(N**3).cast("long").alias("expected"), F.count("*").alias("found"), F.count(F.when(F.col("v").isNull(), 1)).alias("nulls"))
     return found.withColumn("complete", (F.col("expected") == F.col("found")) & (F.col("nulls") == 0))
 
 
@@ -391,7 +396,7 @@ PCHIP = " union all ".join(f"select pid, tau, floor(tau)::bigint + {k} as t, {ho
 
 @query(f"with {VOX}, {CELLS}, a as (select pid, tau, tau - floor(tau) as theta from (select pid, 1 + (pid % 97) / 97.0::double as tau from cells)), k as ({PCHIP}) select pid, tau, round(sum(w * v), 6) + 0.0 as p from k join cells using (pid) join vox using (ix, iy, iz, t) where var = 'p' group by pid, tau")
 def pchip_time(spark, sf_dir):
-    values_ = cells(spark, sf_dir).join(voxels(spark, sf_dir).where("var = 'p'"), ["ix", "iy", "iz"]).select("pid", "t", F.col("v").alias("value"))
+    values_ = cells(spark, sf_dir).join(voxels(spark, sf_dir, ["p"]), ["ix", "iy", "iz"]).select("pid", "t", F.col("v").alias("value"))
     wanted = points(spark, sf_dir).select("pid", (1 + (F.col("pid") % 97) / F.lit(97.0)).alias("tau"))
     return temporal.in_time(values_, wanted).select("pid", "tau", r6(F.col("value")).alias("p"))
 
@@ -414,11 +419,9 @@ _series = [(t,) for t in temporal.series(1.0, 1.9, 0.3)]
     "select s.pid, tau, round(sum(w * v), 6) + 0.0 as p from k join s using (t) group by s.pid, tau"
 )
 def time_series(spark, sf_dir):
-    """Each time is one block of rows; every snapshot is read once, and both interpolations are linear."""
-    parts = None
-    for t in range(4):
-        part = evaluate(points(spark, sf_dir), nodes(spark, sf_dir, ["p"], t), "lag4").select("pid", F.lit(t).cast("long").alias("t"), F.col("c0_0").alias("value"))
-        parts = part if parts is None else parts.unionByName(part)
+    """The snapshots are components of one evaluation: every voxel and every point's stencil is read once."""
+    found = evaluate(points(spark, sf_dir), snapshots(spark, sf_dir, "p", range(4)), "lag4", components=4)
+    parts = found.select("pid", F.inline(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(f"c{t}_0").alias("value")) for t in range(4)])))
     wanted = points(spark, sf_dir).select("pid", F.explode(F.array(*[F.lit(t) for (t,) in _series])).alias("tau"))
     return temporal.in_time(parts, wanted).select("pid", "tau", r6(F.col("value")).alias("p"))
 
@@ -462,14 +465,14 @@ def sabl_stepdown(spark, sf_dir):
 KINDS = ("uv", "w", "energy")
 
 
-def _linear_field_sql() -> str:
-    xy = ", ".join(f"t{a} as (" + " union all ".join(f"select pid, (i{a} + {x}) & 15 as j{a}, {horner(c, f'f{a}')} as w{a} from g" for x, c in field("lag4").items()) + ")" for a in "xy")
+def _linear_field_sql(method: str = "lag4", node_sql: str = P_NODES, source: str = "low") -> str:
+    xy = ", ".join(f"t{a} as (" + " union all ".join(f"select pid, (i{a} + {x}) & 15 as j{a}, {horner(c, f'f{a}')} as w{a} from g" for x, c in field(method).items()) + ")" for a in "xy")
     z = " union all ".join([
         "select pid, 'uv' as kind, floor(z - 0.5)::bigint & 15 as jz, 1 - (z - 0.5 - floor(z - 0.5)) as wz from g", "select pid, 'uv', (floor(z - 0.5)::bigint + 1) & 15, z - 0.5 - floor(z - 0.5) from g",
         "select pid, 'w', floor(z - 1)::bigint & 15, case when z < 1 then 0 else 1 - (z - floor(z)) end from g", "select pid, 'w', floor(z)::bigint & 15, z - floor(z) from g",
         "select pid, 'energy', (case when z < 1 then 0 else floor(z - 1)::bigint end) & 15, case when z < 1 then 1 else 1 - (z - floor(z)) end from g", "select pid, 'energy', floor(z)::bigint & 15, case when z < 1 then 0 else z - floor(z) end from g",
     ])
-    return f"with {VOX}, {LOW_PTS}, {P_NODES}, g as (select pid, z, floor(x)::bigint as ix, floor(y)::bigint as iy, " + ", ".join(f"floor(100000 * ({a} - floor({a}))) / 100000.0::double as f{a}" for a in "xy") + f" from low), {xy}, tz as ({z}) select pid, kind, round(sum(wx * wy * wz * c0), 6) + 0.0 as value from tx join ty using (pid) join tz using (pid) join nodes on ix = jx and iy = jy and iz = jz group by pid, kind"
+    return f"with {VOX}, {LOW_PTS}, {node_sql}, g as (select pid, z, floor(x)::bigint as ix, floor(y)::bigint as iy, " + ", ".join(f"floor(100000 * ({a} - floor({a}))) / 100000.0::double as f{a}" for a in "xy") + f" from {source}), {xy}, tz as ({z}) select pid, kind, round(sum(wx * wy * wz * c0), 6) + 0.0 as value from tx join ty using (pid) join tz using (pid) join nodes on ix = jx and iy = jy and iz = jz group by pid, kind"
 
 
 def of_kinds(make) -> DataFrame:
@@ -542,3 +545,72 @@ def _velocity_sql() -> str:
 def sabl_velocity_merge(spark, sf_dir):
     found = boundary.velocity(low_points(spark, sf_dir), nodes(spark, sf_dir, ["ux", "uy"]), nodes(spark, sf_dir, ["uz"]), "lag4")
     return found.select("pid", *[r6(F.col(c)).alias(c) for c in ("ux", "uy", "uz")])
+
+
+# --- Whole requests ---
+
+#: Where the lattice's columns of a request's stored names lie.
+LATTICE = {"pressure": "p", "velocity_x": "ux", "velocity_y": "uy", "velocity_z": "uz"}
+
+
+def source(spark: SparkSession, sf_dir: str, periodic: bool = True, first: int = 1) -> requests.Source:
+    """The lattice as the source of a request; first: the number of its first snapshot."""
+    of = lambda own: [LATTICE[x] for x in own]
+    return requests.Source(N, 1.0, periodic, lambda own, k: nodes(spark, sf_dir, of(own), k - first), lambda own, k: chunked(spark, sf_dir, of(own), k - first))
+
+
+def _routed_sql(method: str, variable: str, columns: list[str], off_z: str, kind: str, node_sql: str) -> str:
+    """Each point by its method, near the ground and the sky by the linear one; columns of one kind."""
+    parts = []
+    for m in [method, *boundary.STEPS[method]]:
+        own = f"(select * from low where {_route(method, variable)} = '{m}')"
+        if m == "linear":
+            linear = []
+            for k, c in enumerate(columns):
+                one = f"{node_sql}, one as (select ix, iy, iz, c{k} as c0 from nodes)"
+                linear.append("select pid, value as " + c + " from (" + _linear_field_sql(method, one, own).replace("join nodes on", "join one on") + f") where kind = '{kind}'")
+            parts.append("select pid, " + ", ".join(columns) + f" from ({linear[0]})" + "".join(f" join ({x}) using (pid)" for x in linear[1:]))
+        else:
+            parts.append(f"select pid, {', '.join(columns)} from ({sql_interp(m, 'field', columns, len(columns), off_z=off_z, source=own, node_sql=node_sql).replace(PTS, LOW_PTS)})")
+    return " union all ".join(parts)
+
+
+PLACES = "round(x, 6) + 0.0 as x_point, round(y, 6) + 0.0 as y_point, round(z, 6) + 0.0 as z_point"
+
+
+def named(found: DataFrame) -> DataFrame:
+    return found.select("pid", "time", *[r6(F.col(c)).alias(c) for c in found.columns[2:]])
+
+
+@query(f"with {LOW_PTS} select pid, 1.0::double as time, {PLACES}, p from low join ({_routed_sql('lag8', 'pressure', ['p'], '-0.5', 'uv', P_NODES)}) using (pid)")
+def get_data_sabl_pressure(spark, sf_dir):
+    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "pressure", 1, "lag8", "field", low_points(spark, sf_dir)).withColumn("time", F.col("time").cast("double")))
+
+
+W_NODES = "nodes as (select ix, iy, iz, v as c0 from vox where var = 'uz' and t = 0)"
+
+
+@query(f"with {LOW_PTS} select pid, 1.0::double as time, {PLACES}, ux, uy, uz from low join ({_routed_sql('lag6', 'velocity', ['ux', 'uy'], '-0.5', 'uv', U_NODES)}) using (pid) join ({_routed_sql('lag6', 'velocity', ['uz'], '-1.0', 'w', W_NODES)}) using (pid)")
+def get_data_sabl_velocity(spark, sf_dir):
+    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "velocity", 1, "lag6", "field", low_points(spark, sf_dir)).withColumn("time", F.col("time").cast("double")))
+
+
+_wanted = [(t, t / 0.002) for t in temporal.series(0.0026, 0.0032, 0.0002)]
+_lag4_in_time = SQL["time_series"].split(", a as (select tau")[0]
+
+
+@query(
+    _lag4_in_time + f", w as (select time, tau from {values(_wanted, 'time, tau')}), a as (select tau, tau - floor(tau) as theta, 0 as pid from w), k as ({PCHIP}) "
+    f"select s.pid, time, {PLACES}, round(sum(w * v), 6) + 0.0 as p from k join w using (tau) join s using (t) join pts on pts.pid = s.pid group by s.pid, time, x, y, z"
+)
+def get_data_pchip_series(spark, sf_dir):
+    return named(requests.get_data(source(spark, sf_dir, first=0), "isotropic1024coarse", "pressure", 0.0026, "lag4", "field", points(spark, sf_dir), "pchip", 0.0032, 0.0002))
+
+
+@query(
+    f"with {VOX}, {U_NODES} select rx::double as x, ry::double as y, rz::double as z, rx + 1 as i, ry + 1 as j, rz + 1 as k, round(c0, 6) + 0.0 as ux, round(c1, 6) + 0.0 as uy, round(c2, 6) + 0.0 as uz "
+    "from nodes join range(10, 41) a(rx) on ((rx % 16) + 16) % 16 = ix join range(0, 8, 2) b(ry) on ry = iy join range(-4, 18, 3) c(rz) on ((rz % 16) + 16) % 16 = iz"
+)
+def get_cutout_strided_tile(spark, sf_dir):
+    found = requests.get_cutout(source(spark, sf_dir), "isotropic8192", "velocity", 1, [(11, 41), (1, 8), (-3, 18)], (1, 2, 3))
+    return found.select("x", "y", "z", "i", "j", "k", *[r6(F.col(c)).alias(c) for c in ("ux", "uy", "uz")])

@@ -36,6 +36,11 @@ def pchip_weights(theta: Column) -> dict[int, Column]:
     return out
 
 
+def pchip_shares(theta: float) -> dict[int, float]:
+    """The same weights for a known time."""
+    return {k: sum(float(v) * theta**p for p, v in enumerate(c)) for k, c in spline(1, 4).items()}
+
+
 def in_time(values: DataFrame, wanted: DataFrame) -> DataFrame:
     """values(t long, pid, value) at wanted(pid, tau): tau in snapshots. One join and one sum: pid, tau, value."""
     theta = F.col("tau") - F.floor("tau")
@@ -51,6 +56,8 @@ def track(points: DataFrame, velocity: DataFrame, method: str, step: float, step
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/eddymesh-checkpoints")
 
     def moved(base: DataFrame, at: DataFrame, h: float) -> DataFrame:

@@ -143,9 +143,13 @@ def test_bad_requests(request_, options):
 
 def test_good_requests():
     catalog.check(*GOOD, temporal="pchip", end=1.2, step=0.1)
-    catalog.check("channel", "position", 0.1, "lag6", "field", "pchip")
+    catalog.check("channel", "position", 0.1, "lag6", "field", "pchip", end=0.3, step=0.1)
+    for rest in ((), ("none",), ("none", False, 0.3, 0.1), ("pchip",)):  # positions are interpolated in time, over a span
+        with pytest.raises(ValueError):
+            catalog.check("channel", "position", 0.1, "lag6", "field", *rest)
     for title, variable, operator, method in catalog.capabilities():
-        catalog.check(title, variable, catalog.dataset(title)[5][0], method, operator)
+        if variable != "position":
+            catalog.check(title, variable, catalog.dataset(title)[5][0], method, operator)
     catalog.check_box("channel", [(1, 4), (1, 32), (-5, 3000)], [1, 2, 3], 3)
     for ranges, strides in (([(4, 1), (1, 2), (1, 2)], [1, 1, 1]), ([(1, 2), (0, 2), (1, 2)], [1, 1, 1]), ([(1, 2), (1, 2), (1, 2)], [0, 1, 1]), ([(1, 10**5), (1, 512), (1, 10**5)], [9, 9, 9]), ([(1.0, 2), (1, 2), (1, 2)], [1, 1, 1])):
         with pytest.raises(ValueError):
@@ -160,9 +164,70 @@ def test_completeness(spark):
     assert cutout.assert_complete(df.dropna(), 1, ["v"]).count() == 1
 
 
+def scans(df):
+    """The conditions that the Parquet readers of a query get."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("PushedFilters: ")[1].split("], ReadSchema")[0] for x in plan.split("\n") if "PushedFilters: " in x and "embedding" in x]
+
+
 def test_filters_reach_the_scan(spark, sf):
-    plan = lattice.voxels(spark, sf).where("t = 0 and var = 'p'")._jdf.queryExecution().executedPlan().toString()
-    assert "embedding" in plan and "label" not in plan.split("ReadSchema")[1].split("\n")[0]
+    from eddymesh.queries import QUERIES
+
+    # 36 chunks of a box in each of four blocks, named one by one or by their span.
+    box = scans(lattice.voxels(spark, sf, ["p"], 0, [(2, 9), (0, 11), (5, 14)]))
+    assert box and all("In(vec_id" in x and "GreaterThanOrEqual(vec_id,192)" in x for x in box)
+    for name in ("cutout_box", "interp_lag8", "plane_slice", "visitor_points"):
+        found = scans(QUERIES[name](spark, sf))
+        assert found and all("vec_id" in x for x in found), name
+    assert "label" not in lattice.voxels(spark, sf)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+
+
+def test_one_point_meets_the_chunks_around_it(spark, sf):
+    one = spark.createDataFrame([(0, 1, 2)], "cx long, cy long, cz long")
+    chunks = lattice.chunked(spark, sf, ["p"])
+    assert lattice.around(one, chunks, 3, 4, 1).count() == 27
+    plan = evaluate(spark.createDataFrame([(1, 1.5, 2.5, 3.5)], "pid long, x double, y double, z double"), None, "lag8", chunks=chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # no voxel rows
+
+
+def test_requests_are_checked(spark, sf):
+    from eddymesh import queries, requests
+
+    at = queries.source(spark, sf, False)
+    far = spark.createDataFrame([(1, 1.0, 1.0, 400.0)], "pid long, x double, y double, z double")
+    with pytest.raises(ValueError, match="z of a point"):
+        requests.get_data(at, "sabl2048low", "pressure", 1, "lag8", "field", far)
+    catalog.check_points("isotropic8192", far)
+    with pytest.raises(ValueError):
+        requests.get_data(at, "sabl2048low", "pressure", 1, "lag12", "field", far)
+    with pytest.raises(ValueError):
+        requests.get_cutout(at, "channel", "velocity", 1, [(1, 4), (0, 4), (1, 4)])
+    none = requests.get_data(at, "sabl2048low", "pressure", 1, "lag4", "field", far.limit(0))
+    assert none.count() == 0 and none.columns == ["pid", "time", "x_point", "y_point", "z_point", "p"]
+
+
+@pytest.mark.parametrize("operator, method", [("gradient", "fd6noint"), ("gradient", "fd4noint"), ("gradient", "m2q8"), ("hessian", "fd6noint"), ("laplacian", "fd4noint"), ("laplacian", "fd4lag4")])
+def test_each_method_is_routed_near_the_ground(spark, sf, operator, method):
+    from eddymesh import queries, requests
+
+    variable = "velocity" if operator == "laplacian" else "pressure"
+    low = queries.low_points(spark, sf).where("pid % 10 = 0")
+    found = requests.get_data(queries.source(spark, sf, False), "sabl2048low", variable, 1, method, operator, low)
+    assert found.columns[5:] == catalog.columns(variable, operator)
+    rows = found.collect()
+    assert len(rows) == len({r.pid for r in rows}) == low.count() and all(v is not None and math.isfinite(v) for r in rows for v in r)
+
+
+def test_coordinates_of_axes(spark):
+    from eddymesh import requests
+
+    at = lambda *a, **k: [round(r.coordinate, 7) for r in requests.axis_coordinates(*a, spark, **k).collect()]
+    assert at("sabl2048low", "z", 1, 5, 2, "velocity_w") == [0.1953125, 0.5859375, 0.9765625]
+    assert at("transition_bl", "x", 1, 2, 1, "pressure") == [30.2185, 30.5107105]
+    grid = spark.createDataFrame([(1, -1.0), (2, -0.99)], "i long, coordinate double")
+    assert sorted(at("channel", "y", 1, 2, 1, "pressure", grid=grid)) == [-1.0, -0.99]
+    with pytest.raises(ValueError, match="irregular"):
+        at("channel", "y", 1, 2, 1, "pressure")
 
 
 def test_sinks(spark, tmp_path):
