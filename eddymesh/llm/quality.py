@@ -10,7 +10,7 @@ label, weighted by similarity and by how many labelled documents a sampled one s
 
 Texts without any term (null, empty, shorter than three bytes) get the share of label 1. Without labels of both kinds
 every score is that share, or 1 where there are none at all. Rows with the same or null doc_id are scored each for
-itself; labels of a null doc_id or null labels don't count, of several labels of one doc_id the smallest does. Other
+itself; labels of a null doc_id or null labels don't count, of several labels of one doc_id the smallest does, and of its texts the first in order. Other
 columns are left alone; empty tables give empty results.
 """
 
@@ -137,7 +137,9 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensi
     for label in (0, 1):
         part = usable.where(F.col("quality") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(labelled)
         sampled = part if sampled is None else sampled.unionByName(part)
-    own = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("text", "quality").mapInArrow(lambda bs: tidied(labelled_counts(bs)), "quality int, counts binary").collect()
+    # One text of each document, however many rows have its doc_id: no more rows than were sampled reach the driver.
+    known = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    own = known.select("text", "quality").mapInArrow(lambda bs: tidied(labelled_counts(bs)), "quality int, counts binary").collect()
     own.sort(key=lambda r: (r["quality"], bytes(r["counts"])))
     kinds = np.array([r["quality"] for r in own], np.float64)
     if not len(own) or kinds.min() == kinds.max():

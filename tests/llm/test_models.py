@@ -278,7 +278,8 @@ def test_quality_scores_by_plain_cosines_and_votes(spark, sf):
         return own / np.linalg.norm(own)
 
     marks = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
-    vectors = sorted((marks[r.doc_id], tuple(vector(c))) for r, c in zip(rows, counted) if r.doc_id in marks and c)
+    once = {r.doc_id: c for r, c in sorted(zip(rows, counted), key=lambda x: x[0].text or "", reverse=True) if r.doc_id in marks and c}
+    vectors = sorted((marks[d], tuple(vector(c))) for d, c in once.items())
     of_model = sorted((int(y), tuple(v)) for y, v in zip(model.labels, model.vectors.astype(float)))
     assert len(vectors) == len(of_model)
     for y in (0, 1):
