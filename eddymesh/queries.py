@@ -419,11 +419,15 @@ _series = [(t,) for t in temporal.series(1.0, 1.9, 0.3)]
     "select s.pid, tau, round(sum(w * v), 6) + 0.0 as p from k join s using (t) group by s.pid, tau"
 )
 def time_series(spark, sf_dir):
-    """The snapshots are components of one evaluation: every voxel and every point's stencil is read once."""
+    """The snapshots are components of one evaluation, so that every voxel and every point's stencil is read once; a
+    known time is a weighted sum of them, without a join."""
     found = evaluate(points(spark, sf_dir), snapshots(spark, sf_dir, "p", range(4)), "lag4", components=4)
-    parts = found.select("pid", F.inline(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(f"c{t}_0").alias("value")) for t in range(4)])))
-    wanted = points(spark, sf_dir).select("pid", F.explode(F.array(*[F.lit(t) for (t,) in _series])).alias("tau"))
-    return temporal.in_time(parts, wanted).select("pid", "tau", r6(F.col("value")).alias("p"))
+    rows = []
+    for (tau,) in _series:
+        below = math.floor(tau)
+        parts = [F.col(f"c{below + k}_0") * F.lit(w) for k, w in temporal.pchip_shares(tau - below).items()]
+        rows.append(F.struct(F.lit(tau).alias("tau"), r6(sum(parts[1:], parts[0])).alias("p")))
+    return found.select("pid", F.inline(F.array(*rows)))
 
 
 @query()

@@ -5,8 +5,8 @@ stored name, and optionally `chunks(names, snapshot)` the same by chunk, for wid
 names (variable + "_x", ...), others under their own.
 
 Near the ground and the sky of a dataset that isn't periodic in z, each point gets the widest method whose nodes are
-inside; the methods' results are united, so each point is evaluated once. Times between snapshots are a weighted sum of
-four snapshots, which are components of the same evaluation: no join for each time.
+inside; the methods' results are united, so each point is evaluated once. Times between snapshots are weighted sums of
+four snapshots' results; each snapshot is evaluated once, whatever the number of times.
 """
 
 from __future__ import annotations
