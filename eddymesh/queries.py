@@ -77,8 +77,8 @@ def interpolation(name: str, method: str, operator: str, variable: str, sql: boo
     stored = ["p"] if variable == "p" else ["ux", "uy", "uz"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chunks = chunked(spark, sf_dir, stored) if wide(method) else None
-        found = evaluate(points(spark, sf_dir), nodes(spark, sf_dir, stored), method, operator, components, chunks=chunks)
+        by = {"chunks": chunked(spark, sf_dir, stored), "nodes": None} if wide(method) else {"nodes": nodes(spark, sf_dir, stored)}
+        found = evaluate(points(spark, sf_dir), method=method, operator=operator, components=components, **by)
         return found.select("pid", *[r6(F.col(c)).alias(n) for c, n in zip(names(operator, components), columns)])
 
     QUERIES[name] = run
