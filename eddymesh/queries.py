@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eddymesh import boundary, catalog, cutout, requests, temporal
 from eddymesh.getdata import evaluate, names, wide
-from eddymesh.lattice import N, chunked, nodes, pack, points, read, snapshots, unpack, voxels
+from eddymesh.lattice import CHUNK, N, chunked, nodes, pack, points, read, snapshots, stored_chunks, unpack, voxels
 from eddymesh.weights import CORNERS, TERMS, axis, difference, field, nearest, spline, taps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,7 +357,7 @@ def tsv_rows(spark, sf_dir):
     from eddymesh.sinks import tsv_lines
 
     p = points(spark, sf_dir)
-    found = evaluate(p, nodes(spark, sf_dir, ["p"]), "lag4").select("pid", r6(F.col("c0_0")).alias("p"))
+    found = evaluate(p, None, "lag4", chunks=chunked(spark, sf_dir, ["p"])).select("pid", r6(F.col("c0_0")).alias("p"))
     return tsv_lines(p.join(found, "pid").withColumn("time", F.lit(1.0)), ["p"]).select("pid", "text")
 
 
@@ -396,9 +396,11 @@ PCHIP = " union all ".join(f"select pid, tau, floor(tau)::bigint + {k} as t, {ho
 
 @query(f"with {VOX}, {CELLS}, a as (select pid, tau, tau - floor(tau) as theta from (select pid, 1 + (pid % 97) / 97.0::double as tau from cells)), k as ({PCHIP}) select pid, tau, round(sum(w * v), 6) + 0.0 as p from k join cells using (pid) join vox using (ix, iy, iz, t) where var = 'p' group by pid, tau")
 def pchip_time(spark, sf_dir):
-    values_ = cells(spark, sf_dir).join(voxels(spark, sf_dir, ["p"]), ["ix", "iy", "iz"]).select("pid", "t", F.col("v").alias("value"))
-    wanted = points(spark, sf_dir).select("pid", (1 + (F.col("pid") % 97) / F.lit(97.0)).alias("tau"))
-    return temporal.in_time(values_, wanted).select("pid", "tau", r6(F.col("value")).alias("p"))
+    # Times lie between 0 and 2, so that no snapshot beyond 3 has a share.
+    place = (F.col("iz") % CHUNK * CHUNK + F.col("iy") % CHUNK) * CHUNK + F.col("ix") % CHUNK
+    code = pack(*[F.expr(f"i{a} div {CHUNK}") for a in "xyz"], bits=2)
+    wanted = cells(spark, sf_dir).select("pid", code.alias("chunk_code"), place.alias("pos"), (1 + (F.col("pid") % 97) / F.lit(97.0)).alias("tau"))
+    return temporal.in_time(wanted, stored_chunks(spark, sf_dir, ["p"], (0, 3))).select("pid", "tau", r6(F.col("value")).alias("p"))
 
 
 _times = temporal.series(0.1, 0.5, 0.008)
@@ -421,18 +423,19 @@ _series = [(t,) for t in temporal.series(1.0, 1.9, 0.3)]
 def time_series(spark, sf_dir):
     """The snapshots are components of one evaluation, so that every voxel and every point's stencil is read once; a
     known time is a weighted sum of them, without a join."""
-    found = evaluate(points(spark, sf_dir), snapshots(spark, sf_dir, "p", range(4)), "lag4", components=4)
+    found = evaluate(points(spark, sf_dir), None, "lag4", components=4, chunks=snapshots(spark, sf_dir, "p", range(4)))
     rows = []
     for (tau,) in _series:
         below = math.floor(tau)
-        parts = [F.col(f"c{below + k}_0") * F.lit(w) for k, w in temporal.pchip_shares(tau - below).items()]
-        rows.append(F.struct(F.lit(tau).alias("tau"), r6(sum(parts[1:], parts[0])).alias("p")))
+        shares = temporal.pchip_shares(tau - below)
+        value = temporal.weighted([F.col(f"c{below + k}_0") for k in shares], list(shares.values()))
+        rows.append(F.struct(F.lit(tau).alias("tau"), r6(value).alias("p")))
     return found.select("pid", F.inline(F.array(*rows)))
 
 
 @query()
 def particle_track(spark, sf_dir):
-    out = temporal.track(points(spark, sf_dir), nodes(spark, sf_dir, ["ux", "uy", "uz"]), "lag4", 0.25, 2)
+    out = temporal.track(points(spark, sf_dir), None, "lag4", 0.25, 2, chunks=chunked(spark, sf_dir, ["ux", "uy", "uz"]))
     return out.select("pid", *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
@@ -489,8 +492,8 @@ def of_kinds(make) -> DataFrame:
 
 @query(_linear_field_sql())
 def sabl_linear_field(spark, sf_dir):
-    p, n = low_points(spark, sf_dir), nodes(spark, sf_dir, ["p"])
-    return of_kinds(lambda kind: boundary.linear_field(p, n, kind, "lag4", N)).select("pid", "kind", r6(F.col("c0_0")).alias("value"))
+    p, own = low_points(spark, sf_dir), chunked(spark, sf_dir, ["p"])
+    return of_kinds(lambda kind: boundary.linear_field(p, None, kind, "lag4", N, chunks=own)).select("pid", "kind", r6(F.col("c0_0")).alias("value"))
 
 
 def _linear_sql(operator: str, order: int) -> str:
@@ -547,7 +550,7 @@ def _velocity_sql() -> str:
 
 @query(_velocity_sql())
 def sabl_velocity_merge(spark, sf_dir):
-    found = boundary.velocity(low_points(spark, sf_dir), nodes(spark, sf_dir, ["ux", "uy"]), nodes(spark, sf_dir, ["uz"]), "lag4")
+    found = boundary.velocity(low_points(spark, sf_dir), chunked(spark, sf_dir, ["ux", "uy"]), chunked(spark, sf_dir, ["uz"]), "lag4")
     return found.select("pid", *[r6(F.col(c)).alias(c) for c in ("ux", "uy", "uz")])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddymesh.getdata import evaluate
+from eddymesh.lattice import into_chunks
 from eddymesh.weights import spline
 
 
@@ -41,17 +42,26 @@ def pchip_shares(theta: float) -> dict[int, float]:
     return {k: sum(float(v) * theta**p for p, v in enumerate(c)) for k, c in spline(1, 4).items()}
 
 
-def in_time(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """values(t long, pid, value) at wanted(pid, tau): tau in snapshots. One join and one sum: pid, tau, value."""
-    theta = F.col("tau") - F.floor("tau")
-    taps = F.array(*[F.struct((F.floor("tau").cast("long") + k).alias("t"), w.alias("w")) for k, w in pchip_weights(theta).items()])
-    rows = wanted.select("pid", "tau", F.explode(taps).alias("k")).select("pid", "tau", "k.t", "k.w")
-    return rows.join(values, ["pid", "t"]).groupBy("pid", "tau").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+def weighted(values: list[Column], weights: list) -> Column:
+    """A weighted sum without what is null; null if all are."""
+    parts = [F.coalesce(v * w, F.lit(0.0)) for v, w in zip(values, weights)]
+    return F.when(F.coalesce(*values).isNotNull(), sum(parts[1:], parts[0]))
 
 
-def track(points: DataFrame, velocity: DataFrame, method: str, step: float, steps: int) -> DataFrame:
-    """Positions after so many midpoint steps in a velocity field: pid, x, y, z. Each step is written, so lost executors
-    repeat one step only."""
+def in_time(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """pid, tau, value of stored(chunk_code, t, vals) at wanted(pid, chunk_code, pos, tau): pos in the chunk, tau in
+    snapshots. Each chunk's four snapshots around an interval are brought together first, so a point is one row."""
+    weights = pchip_weights(F.col("tau") - F.floor("tau"))
+    around = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("t") - k).cast("long").alias("below")) for k in weights])
+    windows = stored.select("chunk_code", "vals", F.inline(around)).groupBy("chunk_code", "below").agg(*[F.max(F.when(F.col("k") == k, F.col("vals"))).alias(f"v{j}") for j, k in enumerate(weights)])
+    rows = wanted.withColumn("below", F.floor("tau").cast("long")).join(windows, ["chunk_code", "below"])
+    found = [F.get(f"v{j}", F.col("pos").cast("int")).cast("double") for j in range(len(weights))]
+    return rows.select("pid", "tau", weighted(found, list(weights.values())).alias("value"))
+
+
+def track(points: DataFrame, velocity: DataFrame | None, method: str, step: float, steps: int, chunks: DataFrame | None = None) -> DataFrame:
+    """Positions after so many midpoint steps in a velocity field, by node or by chunk: pid, x, y, z. Each step is
+    written, so lost executors repeat one step only."""
     spark = points.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
@@ -60,11 +70,15 @@ def track(points: DataFrame, velocity: DataFrame, method: str, step: float, step
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/eddymesh-checkpoints")
 
-    def moved(base: DataFrame, at: DataFrame, h: float) -> DataFrame:
-        u = evaluate(at, velocity, method, "field", 3, quantize=False)
-        return base.join(u, "pid").select("pid", *[(F.col(a) + F.lit(h) * F.col(f"c{k}_0")).alias(a) for k, a in enumerate("xyz")])
+    chunks = into_chunks(velocity, 3) if chunks is None else chunks
+
+    def moved(at: DataFrame, h: float) -> DataFrame:
+        """From bx, by, bz, with the velocity at x, y, z."""
+        u = evaluate(at, None, method, "field", 3, quantize=False, chunks=chunks, keep=("bx", "by", "bz"))
+        return u.select("pid", *[f"b{a}" for a in "xyz"], *[(F.col(f"b{a}") + F.lit(h) * F.col(f"c{k}_0")).alias(a) for k, a in enumerate("xyz")])
 
     now = points.select("pid", "x", "y", "z")
     for _ in range(steps):
-        now = moved(now, moved(now, now, step / 2), step).checkpoint()
+        base = now.select("*", *[F.col(a).alias(f"b{a}") for a in "xyz"])
+        now = moved(moved(base, step / 2), step).select("pid", "x", "y", "z").checkpoint()
     return now

@@ -40,3 +40,16 @@ def test_nodes_that_are_absent_or_null_add_nothing(spark, sf, monkeypatch):
     assert any(v is not None for v in joined.values())
     for pid, v in found.items():
         assert v is None and joined.get(pid) is None or v == pytest.approx(joined[pid], abs=1e-12)
+
+
+def generators(df):
+    """Generators of a plan, without the one that deals out runs and without inlined arrays of structs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in re.findall(r"Generate (\w+\(.{0,30})", plan) if not re.match(r"inline|explode\(sequence", x)]
+
+
+@pytest.mark.parametrize("name", ["get_data_sabl_velocity"])
+def test_queries_make_no_row_for_a_node(spark, sf, name):
+    from eddymesh.queries import QUERIES
+
+    assert generators(QUERIES[name](spark, sf)) == []
