@@ -591,7 +591,7 @@ def named(found: DataFrame) -> DataFrame:
 
 @query(f"with {LOW_PTS} select pid, 1.0::double as time, {PLACES}, p from low join ({_routed_sql('lag8', 'pressure', ['p'], '-0.5', 'uv', P_NODES)}) using (pid)")
 def get_data_sabl_pressure(spark, sf_dir):
-    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "pressure", 1, "lag8", "field", low_points(spark, sf_dir)).withColumn("time", F.col("time").cast("double")))
+    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "pressure", 1, "lag8", "field", low_points(spark, sf_dir), limited=False).withColumn("time", F.col("time").cast("double")))
 
 
 W_NODES = "nodes as (select ix, iy, iz, v as c0 from vox where var = 'uz' and t = 0)"
@@ -599,7 +599,7 @@ W_NODES = "nodes as (select ix, iy, iz, v as c0 from vox where var = 'uz' and t
 
 @query(f"with {LOW_PTS} select pid, 1.0::double as time, {PLACES}, ux, uy, uz from low join ({_routed_sql('lag6', 'velocity', ['ux', 'uy'], '-0.5', 'uv', U_NODES)}) using (pid) join ({_routed_sql('lag6', 'velocity', ['uz'], '-1.0', 'w', W_NODES)}) using (pid)")
 def get_data_sabl_velocity(spark, sf_dir):
-    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "velocity", 1, "lag6", "field", low_points(spark, sf_dir)).withColumn("time", F.col("time").cast("double")))
+    return named(requests.get_data(source(spark, sf_dir, False), "sabl2048low", "velocity", 1, "lag6", "field", low_points(spark, sf_dir), limited=False).withColumn("time", F.col("time").cast("double")))
 
 
 _wanted = [(t, t / 0.002) for t in temporal.series(0.0026, 0.0032, 0.0002)]
@@ -611,7 +611,7 @@ _lag4_in_time = SQL["time_series"].split(", a as (select tau")[0]
     f"select s.pid, time, {PLACES}, round(sum(w * v), 6) + 0.0 as p from k join w using (tau) join s using (t) join pts on pts.pid = s.pid group by s.pid, time, x, y, z"
 )
 def get_data_pchip_series(spark, sf_dir):
-    return named(requests.get_data(source(spark, sf_dir, first=0), "isotropic1024coarse", "pressure", 0.0026, "lag4", "field", points(spark, sf_dir), "pchip", 0.0032, 0.0002))
+    return named(requests.get_data(source(spark, sf_dir, first=0), "isotropic1024coarse", "pressure", 0.0026, "lag4", "field", points(spark, sf_dir), "pchip", 0.0032, 0.0002, limited=False))
 
 
 @query(

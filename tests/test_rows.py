@@ -53,3 +53,13 @@ def test_queries_make_no_row_for_a_node(spark, sf, name):
     from eddymesh.queries import QUERIES
 
     assert generators(QUERIES[name](spark, sf)) == []
+
+
+@pytest.mark.parametrize("name", ["get_data_pchip_series"])
+def test_jobs_over_whole_tables_are_no_single_calls(spark, sf, monkeypatch, name):
+    from eddymesh import catalog, queries, requests
+
+    monkeypatch.setattr(catalog, "MAX_POINTS", 100)
+    assert queries.QUERIES[name](spark, sf).select("pid").distinct().count() == 1500
+    with pytest.raises(ValueError, match="more than 100"):
+        requests.get_data(queries.source(spark, sf), "isotropic8192", "pressure", 1, "lag4", "field", queries.points(spark, sf))
