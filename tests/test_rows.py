@@ -55,7 +55,7 @@ def test_queries_make_no_row_for_a_node(spark, sf, name):
     assert generators(QUERIES[name](spark, sf)) == []
 
 
-@pytest.mark.parametrize("name", ["get_data_pchip_series"])
+@pytest.mark.parametrize("name", ["get_data_pchip_series", "get_data_sabl_pressure"])
 def test_jobs_over_whole_tables_are_no_single_calls(spark, sf, monkeypatch, name):
     from eddymesh import catalog, queries, requests
 
