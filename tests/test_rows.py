@@ -63,3 +63,16 @@ def test_jobs_over_whole_tables_are_no_single_calls(spark, sf, monkeypatch, name
     assert queries.QUERIES[name](spark, sf).select("pid").distinct().count() == 1500
     with pytest.raises(ValueError, match="more than 100"):
         requests.get_data(queries.source(spark, sf), "isotropic8192", "pressure", 1, "lag4", "field", queries.points(spark, sf))
+
+
+def test_tracks_by_chunk_are_those_of_the_stencil_join(spark, sf, monkeypatch):
+    from eddymesh import temporal
+
+    u = ["ux", "uy", "uz"]
+    p = spark.sql(f"select {SCATTERED} from range(50)")
+    found = {r.pid: r[1:] for r in temporal.track(p, None, "lag4", 0.25, 1, chunks=lattice.chunked(spark, sf, u)).collect()}
+    half = {r.pid: r[1:] for r in evaluate(p, lattice.nodes(spark, sf, u), "lag4", "field", 3, quantize=False).collect()}
+    moved = spark.createDataFrame([(r.pid, *[a + 0.125 * v for a, v in zip(r[1:], half[r.pid])]) for r in p.collect()], "pid long, x double, y double, z double")
+    for r in evaluate(moved, lattice.nodes(spark, sf, u), "lag4", "field", 3, quantize=False).collect():
+        start = next(q for q in p.collect() if q.pid == r.pid) if r.pid % 10 == 0 else None
+        assert start is None or found[r.pid] == pytest.approx([a + 0.25 * v for a, v in zip(start[1:], r[1:])], abs=1e-12)
