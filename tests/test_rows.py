@@ -48,7 +48,7 @@ def generators(df):
     return [x for x in re.findall(r"Generate (\w+\(.{0,30})", plan) if not re.match(r"inline|explode\(sequence", x)]
 
 
-@pytest.mark.parametrize("name", ["get_data_sabl_velocity", "pchip_time", "sabl_velocity_merge"])
+@pytest.mark.parametrize("name", ["get_data_sabl_velocity", "pchip_time", "sabl_velocity_merge", "time_series"])
 def test_queries_make_no_row_for_a_node(spark, sf, name):
     from eddymesh.queries import QUERIES
 
