@@ -83,3 +83,12 @@ def test_the_first_kind_of_velocities_is_evaluated_once(spark, sf):
 
     plan = QUERIES["sabl_velocity_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 2
+
+
+@pytest.mark.parametrize("name", ["grad_fd8"])
+def test_a_point_is_one_row_until_it_has_its_values(spark, sf, name):
+    from eddymesh.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+    assert not re.search(r"Generate explode\((?!sequence)", plan)
