@@ -85,7 +85,7 @@ def test_the_first_kind_of_velocities_is_evaluated_once(spark, sf):
     assert plan.count("FlatMapCoGroupsInArrow") == 2
 
 
-@pytest.mark.parametrize("name", ["grad_fd8", "grad_fd6", "lap_fd4", "lap_fd6", "lap_fd8", "hess_fd4"])
+@pytest.mark.parametrize("name", ["grad_fd8", "grad_fd6", "lap_fd4", "lap_fd6", "lap_fd8", "hess_fd4", "time_series"])
 def test_a_point_is_one_row_until_it_has_its_values(spark, sf, name):
     from eddymesh.queries import QUERIES
 
