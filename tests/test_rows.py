@@ -92,3 +92,28 @@ def test_a_point_is_one_row_until_it_has_its_values(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1
     assert not re.search(r"Generate explode\((?!sequence)", plan)
+
+
+@pytest.mark.parametrize("name", ["grad_fd8"])
+def test_points_are_read_twice_and_dealt_out_once(spark, sf, name):
+    """Once for the count, which both of its uses share, and once for the values, by a join that moves no point."""
+    from eddymesh.queries import QUERIES
+
+    df = QUERIES[name](spark, sf)
+    assert df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan parquet [o_orderkey") <= 2 and "ReusedExchange" in ran
+    assert re.search(r"Join LeftOuter.*strategy=broadcast", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_values_are_rounded_as_duckdb_does(spark):
+    import duckdb
+    import numpy as np
+
+    from eddymesh.queries import r6
+
+    v = [-0.0642285, 0.5221775, -1.3211695, 2.5e-6, -2.5e-6, 0.49999999999999994e-6, 1e305, -1e305, 3e38, 0.1 + 0.2, -0.0, 1e-9, float("inf")]
+    want = [r[0] for r in duckdb.sql("select round(v, 6) + 0.0 from (values " + ", ".join(f"({k}, '{x!r}'::double)" for k, x in enumerate(v)) + ") t(k, v) order by k").fetchall()]
+    assert getdata.rounded(np.array(v), 6).tolist() == want
+    assert [r.v for r in spark.createDataFrame([(x,) for x in v], "v double").select(r6(F.col("v")).alias("v")).collect()] == want
+    assert want != [r.v for r in spark.createDataFrame([(x,) for x in v], "v double").select(F.round("v", 6).alias("v")).collect()]
