@@ -436,8 +436,8 @@ def time_series(spark, sf_dir):
         below = math.floor(tau)
         shares = temporal.pchip_shares(tau - below)
         value = temporal.weighted([F.col(f"c{below + k}_0") for k in shares], list(shares.values()))
-        rows.append(F.struct(F.lit(tau).alias("tau"), r6(value).alias("p")))
-    return found.select("pid", F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(tau).alias("tau"), value.alias("p")))
+    return found.select("pid", F.inline(F.array(*rows))).select("pid", "tau", r6(F.col("p")).alias("p"))
 
 
 @query()
