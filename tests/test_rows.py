@@ -94,7 +94,7 @@ def test_a_point_is_one_row_until_it_has_its_values(spark, sf, name):
     assert not re.search(r"Generate explode\((?!sequence)", plan)
 
 
-@pytest.mark.parametrize("name", ["grad_fd8", "hess_fd4", "time_series"])
+@pytest.mark.parametrize("name", ["grad_fd8", "hess_fd4", "time_series", "lap_fd8", "lap_fd6", "lap_fd4", "grad_fd6"])
 def test_points_are_read_twice_and_dealt_out_once(spark, sf, name):
     """Once for the count, which both of its uses share, and once for the values, by a join that moves no point."""
     from eddymesh.queries import QUERIES
