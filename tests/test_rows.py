@@ -119,7 +119,7 @@ def test_values_are_rounded_as_duckdb_does(spark):
     assert want != [r.v for r in spark.createDataFrame([(x,) for x in v], "v double").select(F.round("v", 6).alias("v")).collect()]
 
 
-@pytest.mark.parametrize("name", ["grad_fd6"])
+@pytest.mark.parametrize("name", ["grad_fd6", "hess_fd4"])
 def test_values_that_are_no_numbers_are_the_sqls(spark, sf, tmp_path, name):
     import duckdb
 
